@@ -27,7 +27,7 @@ class ForeignKey:
 
 def same_id(c: Column) -> Column:
     """Ids compare in lower case without outer blanks."""
-    return F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", ""))
+    return F.lower(F.regexp_replace(c, r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$", ""))
 
 
 def direct_orphans(tables: dict[str, DataFrame], fk: ForeignKey) -> DataFrame:
