@@ -22,6 +22,11 @@ from stemloom.session import materialize
 GAP = 0x0A  # between the texts of a record; no letter or digit
 SKETCH_BITS = 21
 BUCKET_LIMIT = 64
+#: Classes that one sampling task takes.
+TASK_CLASSES = 10_000
+#: 64-bit words of a class's bitmap.
+WORDS = 4
+BITMAP = [f"w{i}" for i in range(WORDS)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,10 +67,26 @@ def _text_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(*to_codepoints(texts))
 
 
+def bitmaps(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A bitmap of each set (sets x WORDS), one bit set for each element by hash.
+
+    Bits in which two bitmaps differ stand for different elements of the symmetric difference, so their number is a
+    lower bound of it; a pair whose bound is too high for the threshold can be left out without losing any.
+    """
+    n = len(at) - 1
+    place = (mix(code ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)).astype(np.int64) % (64 * WORDS)
+    own = np.repeat(np.arange(n), np.diff(at))
+    bits = np.zeros((n, 64 * WORDS), dtype=np.uint8)
+    bits[own, place] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def record_classes(df: DataFrame, key: str, texts: str) -> DataFrame:
-    """key, c1, c2, body of each record: body is its texts in letters and digits of lower case, joined by line breaks;
-    (c1, c2) is a 128-bit digest of its shingle set.  Records without any shingle are left out: they resemble nothing."""
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, c1 bigint, c2 bigint, body string"
+    """key, c1, c2, body, n, w0.. of each record: body is its texts in letters and digits of lower case, joined by line
+    breaks; (c1, c2) is a 128-bit digest of its shingle set, n the set's size, w0.. its bitmap.  Records without any
+    shingle are left out: they resemble nothing."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, c1 bigint, c2 bigint, body string, n int, " + ", ".join(f"w{i} bigint" for i in range(WORDS))
+    names = [key, "c1", "c2", "body", "n", *BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,7 +102,8 @@ def record_classes(df: DataFrame, key: str, texts: str) -> DataFrame:
                 total = np.zeros(len(code) + 1, dtype=np.uint64)
                 np.cumsum(mix(code ^ np.uint64(seed)), out=total[1:])
                 sums.append(mix(total[at[1:]] - total[at[:-1]]).view(np.int64))
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[0]), pa.array(sums[1]), to_arrow(body, body_off).cast(pa.string())], names=[key, "c1", "c2", "body"])
+            words = bitmaps(code, at)
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[0]), pa.array(sums[1]), to_arrow(body, body_off).cast(pa.string()), pa.array(np.diff(at).astype(np.int32)), *(pa.array(words[:, i].copy()) for i in range(WORDS))], names=names)
             yield out.filter(pa.array(has))
 
     return df.select(key, texts).mapInArrow(run, schema)
@@ -180,14 +202,16 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 96,
 
     Buckets of more than BUCKET_LIMIT classes are not paired as they are: there a class takes part under its
     len - ceil(threshold * len) + 1 rarest shingles (prefix filter), which no pair over the threshold escapes; so a
-    bucket that a third of all rows share through a common passage neither emits all its pairs nor loses one.
+    bucket that a third of all rows share through a common passage neither emits all its pairs nor loses one.  Of the
+    pairs of a bucket only those that the sets' bitmaps cannot rule out leave the join.
     With `weighted`, similarity is that of the TF-IDF weights and large buckets are paired whole.
     """
     spark = classes.sparkSession
     counts = shingle_counts(classes)
-    weights = idf(counts, classes.count())
-    shared = spark.sparkContext.broadcast((weights, counts))
-    n = max(spark.sparkContext.defaultParallelism, 1)
+    n_classes = classes.count()
+    weights = idf(counts, n_classes)
+    shared = spark.sparkContext.broadcast((weights, counts.astype(np.int32)))
+    n = max(spark.sparkContext.defaultParallelism, -(-n_classes // TASK_CLASSES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, _ = shared.value
@@ -218,8 +242,18 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 96,
     if not weighted:
         large = crowd.where(F.col("n") > BUCKET_LIMIT).select("key", "c1").join(classes.select("c1", "body"), "c1").select("key", "c1", "body")
         small = small.unionByName(large.mapInArrow(prefixes, "key bigint, c1 bigint"))
-    a, b = small.select("key", F.col("c1").alias("x")), small.select("key", F.col("c1").alias("y"))
-    pairs = a.join(b, "key").where("x < y").select("x", "y").distinct()
+    if weighted:
+        a, b = small.select("key", F.col("c1").alias("x")), small.select("key", F.col("c1").alias("y"))
+        pairs = a.join(b, "key").where("x < y").select("x", "y").distinct()
+    else:
+        # a shared c1 of two classes only lets more pairs through to the exact check
+        marks = classes.groupBy("c1").agg(*[F.first(c).alias(c) for c in ("n", *BITMAP)], F.count(F.lit(1)).alias("same"))
+        held = materialize(small.distinct().join(marks, "c1"))
+        a = held.select("key", F.col("c1").alias("x"), F.col("n").alias("n_a"), F.col("same").alias("same_a"), *[F.col(c).alias(f"{c}_a") for c in BITMAP])
+        b = held.select("key", F.col("c1").alias("y"), F.col("n").alias("n_b"), F.col("same").alias("same_b"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITMAP[1:]), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+        near = apart * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-9
+        pairs = a.join(b, "key").where((F.col("x") < F.col("y")) & (near | (F.col("same_a") + F.col("same_b") > 2))).select("x", "y").distinct()
     one = classes.select(F.col("c1").alias("x"), F.col("c2").alias("a2"), F.col("body").alias("body_a"))
     two = classes.select(F.col("c1").alias("y"), F.col("c2").alias("b2"), F.col("body").alias("body_b"))
     full = pairs.join(one, "x").join(two, "y").select(F.col("x").alias("a1"), "a2", F.col("y").alias("b1"), "b2", "body_a", "body_b")
@@ -241,7 +275,7 @@ def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6,
     A pair of similarity s is missed with probability (1 - v^rows)^bands, v being its weighted similarity.
     """
     members = materialize(record_classes(df, key, texts))
-    classes = materialize(members.groupBy("c1", "c2").agg(F.first("body").alias("body")))
+    classes = materialize(members.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("body", "n", *BITMAP)]))
     return members.select(key, "c1", "c2"), similar_classes(classes, threshold, bands, rows, weighted)
 
 
