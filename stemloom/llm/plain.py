@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.codepoints import gather, to_arrow, to_codepoints
+from stemloom.session import materialize
 
 # Letters of other alphabets, or special Latin ones, that are shaped like a plain Latin letter.
 LOOKALIKES = {
@@ -255,18 +256,18 @@ def lookalike_pairs(df: DataFrame, key: str = "extract_no", stem: str = "stem",
     """Pairs (extract_a, extract_b) of rows that look the same but differ in a character.
 
     Rows are first grouped to classes of equal characters; only classes that look the same and differ are joined, and
-    their members last, so copies of one text cost one row until the result.  A repeated row (same key and texts)
+    their members last, so copies of one text cost one row until the result.  Forms are compared by SHA-256.  A repeated row (same key and texts)
     counts once.  A null stem or option text counts as an empty one, null options as none; option labels and all other
     columns are left aside.  An empty table gives no pairs.
     """
     c = lookalike_classes(df.select(key, stem, options), key, stem, options)
-    c = c.select(F.col(key).alias("k"), F.xxhash64("plain").alias("h"), "plain", F.sha2("raw", 256).alias("raw")).distinct()
-    # plain forms with more than one spelling
-    spread = c.groupBy("h", "plain").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("h", "plain")
-    c = c.join(spread, ["h", "plain"], "left_semi")
-    kinds = c.select("h", "plain", "raw").distinct()
-    a, b = kinds.select("h", "plain", F.col("raw").alias("raw_a")), kinds.select("h", "plain", F.col("raw").alias("raw_b"))
-    links = a.join(b, ["h", "plain"]).where("raw_a < raw_b").select(F.xxhash64("plain").alias("h"), "raw_a", "raw_b")
+    digest = lambda t: F.unhex(F.sha2(t, 256))
+    c = materialize(c.select(F.col(key).alias("k"), digest("plain").alias("look"), digest("raw").alias("raw")))
+    # looks with more than one spelling
+    spread = c.groupBy("look").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("look")
+    c = c.join(spread, "look", "left_semi").distinct()
+    kinds = c.select("look", "raw").distinct()
+    links = kinds.select("look", F.col("raw").alias("raw_a")).join(kinds.select("look", F.col("raw").alias("raw_b")), "look").where("raw_a < raw_b").select("raw_a", "raw_b")
     m = c.select("k", "raw")
     pairs = links.join(m.select(F.col("k").alias("x"), F.col("raw").alias("raw_a")), "raw_a").join(m.select(F.col("k").alias("y"), F.col("raw").alias("raw_b")), "raw_b")
     return pairs.select(F.least("x", "y").alias("extract_a"), F.greatest("x", "y").alias("extract_b")).where("extract_a < extract_b").distinct()
