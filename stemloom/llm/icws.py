@@ -197,7 +197,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return both / np.maximum(np.bincount(own, weights=w, minlength=n) - both, 1e-12)
 
 
-def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 96, rows: int = 5, weighted: bool = False) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> DataFrame:
     """Pairs of classes (a1, a2, b1, b2) whose similarity is at least `threshold`.
 
     Buckets of more than BUCKET_LIMIT classes are not paired as they are: there a class takes part under its
@@ -267,7 +267,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 96,
     return full.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6, bands: int = 96, rows: int = 5, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members gives each key its class (c1, c2); links the similar pairs of different classes.
 
     Records are arrays of texts; null texts and arrays count as empty, and records without a shingle belong to no
