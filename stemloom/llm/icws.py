@@ -22,6 +22,7 @@ from stemloom.session import materialize
 GAP = 0x0A  # between the texts of a record; no letter or digit
 SKETCH_BITS = 21
 BUCKET_LIMIT = 64
+SALTS = 64
 #: Classes that one sampling task takes.
 TASK_CLASSES = 10_000
 #: 64-bit words of a class's bitmap.
@@ -212,13 +213,21 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
     weights = idf(counts, n_classes)
     shared = spark.sparkContext.broadcast((weights, counts.astype(np.int32)))
     n = max(spark.sparkContext.defaultParallelism, -(-n_classes // TASK_CLASSES))
+    limit = BUCKET_LIMIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, _ = shared.value
         for b in batches:
             code, at = _text_shingles(b.column(1))
+            c1 = b.column(0).to_numpy()
+            salt = 1 + (c1.view(np.uint64) % np.uint64(SALTS)).astype(np.int16)
             for key in band_keys(code, at, w, bands, rows):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], names=["key", "c1"])
+                found, where, n = np.unique(key, return_inverse=True, return_counts=True)
+                crowded = found[n > limit]
+                where_to = np.where(n[where] > limit, salt, np.int16(0))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c1), pa.array(where_to)], names=["key", "c1", "salt"])
+                if len(crowded):
+                    yield pa.RecordBatch.from_arrays([pa.array(crowded.view(np.int64)), pa.nulls(len(crowded), pa.int64()), pa.array(np.zeros(len(crowded), np.int16))], names=["key", "c1", "salt"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, df = shared.value
@@ -234,13 +243,17 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
             key = mix(b.column(0).to_numpy().view(np.uint64)[who] * np.uint64(0x9E3779B97F4A7C15) + mix(code[chosen]))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).take(pa.array(who))], names=["key", "c1"])
 
-    keyed = classes.select("c1", "body").repartition(n).mapInArrow(run, "key bigint, c1 bigint")
-    crowd = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    crowd = materialize(crowd)
-    small = crowd if weighted else crowd.where(F.col("n") <= BUCKET_LIMIT)
+    # Rows of a key that is crowded within one batch are known to be of a large bucket: they spread over salts, and a row
+    # without c1 tells the rest of the key, so no task gets a hot key whole.
+    keyed = classes.select("c1", "body").repartition(n).mapInArrow(run, "key bigint, c1 bigint, salt smallint")
+    w = Window.partitionBy("key", "salt")
+    crowd = keyed.withColumns({"n": F.count("c1").over(w), "told": F.count(F.lit(1)).over(w)})
+    is_large = (F.col("salt") > 0) | (F.col("n") > limit) | (F.col("told") > F.col("n"))
+    crowd = materialize(crowd.withColumn("large", is_large).where("c1 IS NOT NULL AND (n > 1 OR large)").select("key", "c1", "large"))
+    small = crowd if weighted else crowd.where("NOT large")
     small = small.select("key", "c1")
     if not weighted:
-        large = crowd.where(F.col("n") > BUCKET_LIMIT).select("key", "c1").join(classes.select("c1", "body"), "c1").select("key", "c1", "body")
+        large = crowd.where("large").select("key", "c1").join(classes.select("c1", "body"), "c1").select("key", "c1", "body")
         small = small.unionByName(large.mapInArrow(prefixes, "key bigint, c1 bigint"))
     if weighted:
         a, b = small.select("key", F.col("c1").alias("x")), small.select("key", F.col("c1").alias("y"))
