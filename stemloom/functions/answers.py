@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions.text import strip
 
-# Fixed values of the answer vocabulary.
+# The answer vocabulary.
 LABELS = ("A", "B", "C", "D", "E")
 TRUE_WORDS = ("true", "t", "正确", "对")
 FALSE_WORDS = ("false", "f", "错误", "错")

@@ -115,7 +115,8 @@ def _part(n: int) -> str:
 
 
 def _escape(name: str) -> str:
-    return name.replace("~", "~0").replace("/", "~1")
+    """A member name as a path part: never '[]', which stands for an element, and without '/'."""
+    return name.replace("~", "~0").replace("/", "~1").replace("[", "~2")
 
 
 def walk(tree, member_order: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, str, str | None, str, str | None]]:

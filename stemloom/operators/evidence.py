@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stemloom.functions.answers import JUDGMENTS, answer_labels
 from stemloom.functions.text import WHITE, evidence_fingerprint, logical_lines, strip
 
-# Fixed patterns of answer lines.
+# Patterns of answer lines.
 STRICT_LINE = r"^[ \t]*([1-9][0-9]*)[ \t]*:[ \t]*([A-Z])[ \t]*\z"
 NUMBERED = r"([1-9][0-9]*)[ \t]*([:.、）)])[ \t]*([A-Za-z]+(?:[、,，;；/][A-Za-z]+)*)"
 ANSWER = rf"([^{WHITE}](?:(?d:.*)[^{WHITE}])?)[ \t]*\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions.text import WHITE, ZERO_WIDTH, logical_lines, strip
 
-# Fixed patterns of the line grammar.
+# Patterns and titles of the line grammar.
 NUMBER_MARKER = r"^[ \t]*(?:(\(([1-9][0-9]*)\)|（([1-9][0-9]*)）)|([1-9][0-9]*)([.)、．]))[ \t]*((?s:.*))\z"
 CHINESE_MARKER = r"^[ \t]*([一二三四五六七八九十])、[ \t]*((?s:.*))\z"
 OPTION_LINE = rf"^[ \t]*[-*+]?[ \t]*([A-Z])[.)、．][ \t]+[^{WHITE}](?s:.*[^{WHITE}])?[ \t]*\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions.text import WHITE, logical_lines
 
-# Fixed patterns and finding texts of the grammar.
+# Patterns and finding texts of the grammar.
 EDGE = rf"[^{WHITE}](?:(?d:.*)[^{WHITE}])?"
 PATTERNS = {
     "FENCE": r"^[ \t]*(`{3,}|~{3,})(?d:.*)\z",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Suffixes, schemas and column names of the formats.
 TEXT_SUFFIXES = r"\.(txt|md)\z"
 PARSE_SUFFIXES = r"\.(txt|md|markdown)\z"
 REFERENCE = T.StructType([T.StructField("source_id", T.StringType()), T.StructField("locator", T.StringType())])
