@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemloom.llm.codepoints import to_codepoints
+from stemloom.llm.codepoints import slices, to_codepoints
 from stemloom.llm.plain import flat_texts, framed, letters_only, plain_points
 from stemloom.session import materialize, salted, unsalted
 
@@ -26,7 +26,7 @@ def canonical_rows(df: DataFrame, key: str, stem: str, options: str) -> DataFram
     schema = f"{key} {df.schema[key].dataType.simpleString()}, canonical string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             texts, rows = flat_texts(b.column(1), b.column(2))
             points, off = letters_only(*plain_points(*to_codepoints(texts)))
             one = framed(points, off, np.arange(len(texts) + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,6 +53,14 @@ def to_arrow(points: np.ndarray, offsets: np.ndarray, nulls: np.ndarray | None =
     return out
 
 
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `limit` bytes, so that arrays several times as large as the text fit a worker."""
+    parts = max(1, min(len(batch), -(-batch.nbytes // limit)))
+    step = max(1, -(-len(batch) // parts))
+    for i in range(0, len(batch), step):
+        yield batch.slice(i, step)
+
+
 def gather(table: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices table[start : start + length] one after another, and their n + 1 offsets."""
     off = np.zeros(len(length) + 1, dtype=np.int64)

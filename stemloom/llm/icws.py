@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemloom.llm.codepoints import to_arrow, to_codepoints
+from stemloom.llm.codepoints import slices, to_arrow, to_codepoints
 from stemloom.llm.plain import flat_texts, letters_only
 from stemloom.session import materialize
 
@@ -90,7 +90,7 @@ def record_classes(df: DataFrame, key: str, texts: str) -> DataFrame:
     names = [key, "c1", "c2", "body", "n", *BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             empty = pa.nulls(len(b), pa.large_string())
             flat, rows = flat_texts(empty, b.column(1))
             points, off = letters_only(*to_codepoints(flat))
@@ -119,7 +119,7 @@ def shingle_counts(classes: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             code, _ = _text_shingles(b.column(0))
             total += np.bincount(slot(code), minlength=1 << SKETCH_BITS)
         at = np.flatnonzero(total)
@@ -169,7 +169,7 @@ def band_keys(code: np.ndarray, at: np.ndarray, weights: np.ndarray, bands: int,
     cuts = [0]
     while cuts[-1] < n:
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + block, side="right")) - 1))
-    at_once = max(1, 20 // rows)
+    at_once = max(1, min(20, 2_000_000 // max(1, len(distinct))) // rows)  # bounds the table of samples
     for band in range(0, bands, at_once):
         now = min(at_once, bands - band)
         table = weighted_samples(distinct, w, at, band * rows, now * rows)
@@ -217,7 +217,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, _ = shared.value
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             code, at = _text_shingles(b.column(1))
             c1 = b.column(0).to_numpy()
             salt = 1 + (c1.view(np.uint64) % np.uint64(SALTS)).astype(np.int16)
@@ -231,7 +231,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, df = shared.value
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             code, at = _text_shingles(b.column(2))
             own = np.repeat(np.arange(len(b)), np.diff(at))
             order = np.lexsort((code, df[slot(code)], own))
@@ -273,7 +273,7 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value[0] if weighted else None
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             s = jaccard(_text_shingles(b.column(4)), _text_shingles(b.column(5)), w)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(s >= threshold - 1e-12))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemloom.llm.codepoints import gather, to_arrow, to_codepoints
+from stemloom.llm.codepoints import gather, slices, to_arrow, to_codepoints
 from stemloom.session import materialize
 
 # Letters of other alphabets, or special Latin ones, that are shaped like a plain Latin letter.
@@ -229,7 +229,7 @@ def lookalike_classes(df: DataFrame, key: str, stem: str, options: str) -> DataF
     schema = f"{key} {df.schema[key].dataType.simpleString()}, plain string, raw string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             texts, rows = flat_texts(b.column(1), b.column(2))
             raw, raw_off = to_codepoints(texts)
             seen, seen_off = plain_points(raw, raw_off)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemloom.llm.codepoints import gather, to_arrow, to_codepoints
+from stemloom.llm.codepoints import gather, slices, to_arrow, to_codepoints
 from stemloom.llm.icws import mix
 from stemloom.session import materialize, salted, unsalted
 
@@ -115,7 +115,7 @@ def stretches(df: DataFrame, key: str, text: str, length: int, gram: int) -> Dat
     schema = f"h bigint, k {df.schema[key].dataType.simpleString()}, lo int, hi int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for x in batches for s in slices(x)):
             points, off = to_codepoints(b.column(1))
             for p, starts, rows, base in pieces(points, off, length):
                 h, part, lo, hi, _ = anchors(p, starts, length, gram)
@@ -180,8 +180,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
+            for part in slices(b):
                 points, off = to_codepoints(part.column(1))
                 x = part.column(2)
                 row = np.repeat(np.arange(len(part)), np.asarray(x.value_lengths()))
@@ -215,8 +214,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 2000):
-                part = b.slice(i, 2000)
+            for part in slices(b, 1 << 19):
                 points, off = to_codepoints(part.column(2))
                 many = np.diff(off) - length + 1
                 record = np.repeat(np.arange(len(part)), many)
