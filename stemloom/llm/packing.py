@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from stemloom.llm.bpe import count_tokens
 
+#: Equal rows that go to a group together.
+COPIES = 1000
+
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The bin (from 0) of each item; every size is in [1, capacity].
@@ -109,14 +112,16 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int = 4096, group_item
     items = sized.where(F.col(size) > 0).select(F.col(key).alias("k"), F.col(size).cast("long").alias("s"))
     n = items.count()
     groups = max(1, -(-n // group_items))
-    grouped = items.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int"))
+    # equal rows as counts of at most COPIES, so that a key of very many rows spreads over groups too
+    counted = items.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
+    grouped = counted.select("k", "s", F.least(F.lit(COPIES), F.col("n") - F.col("j") * COPIES).alias("n"), F.pmod(F.xxhash64("k", "s", "j"), F.lit(groups)).cast("int").alias("g"))
     kind = sized.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, piece int, start bigint, n_tokens bigint, bin_id bigint"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
         pdf = pdf.sort_values(["k", "s"])
-        k, s = pdf["k"].to_numpy(), pdf["s"].to_numpy()
+        k, s = pdf["k"].to_numpy().repeat(pdf["n"]), pdf["s"].to_numpy().repeat(pdf["n"])
         n_pieces = -(-s // capacity)
         owner = np.repeat(np.arange(len(s)), n_pieces)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)

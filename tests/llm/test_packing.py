@@ -38,6 +38,17 @@ def test_pieces(spark):
     assert pack(df.limit(0), "id", "n").count() == 0
 
 
+def test_one_key_with_most_rows(spark):
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN 0 ELSE id END AS doc_id", "CASE WHEN id % 3 > 0 THEN 7 ELSE 1 + id % 50 END AS n")
+    rows = pack(df, "doc_id", "n", capacity=100, group_items=1000).collect()
+    assert len(rows) == 6000 and sum(r.doc_id == 0 and r.n_tokens == 7 for r in rows) == 4000
+    assert len({r.bin_id >> 32 for r in rows if r.n_tokens == 7}) > 1
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.bin_id] += r.n_tokens
+    assert max(fill.values()) <= 100
+
+
 @pytest.mark.parametrize("group_items", [100, 20_000])
 def test_documents(spark, group_items):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
