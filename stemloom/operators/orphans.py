@@ -31,11 +31,14 @@ def same_id(c: Column) -> Column:
 
 
 def direct_orphans(tables: dict[str, DataFrame], fk: ForeignKey) -> DataFrame:
-    """Each reference of one foreign key that is missing, late or deleted."""
+    """Each reference of one foreign key that is missing, late or deleted.
+
+    Redelivered rows are dropped from the orphans, which are few, not from all references, which would be a shuffle more.
+    """
     child = tables[fk.child]
     refs = child.where(F.col(fk.ref).isNotNull()).select(
         F.col(fk.child_id).alias("child_key"), same_id(F.col(fk.ref)).alias("parent_key"), F.col(fk.at).alias("at")
-    ).distinct()
+    )
     died = F.col(fk.died) if fk.died else F.lit(None).cast("timestamp")
     parents = (
         tables[fk.parent].where(F.col(fk.parent_id).isNotNull())
@@ -50,18 +53,18 @@ def direct_orphans(tables: dict[str, DataFrame], fk: ForeignKey) -> DataFrame:
     ))
     return joined.select(
         F.lit(fk.child).alias("child_table"), F.date_format("at", "yyyy-MM").alias("period"), "child_key", "parent_key", F.explode(kinds).alias("kind"), F.lit("direct").alias("origin")
-    )
+    ).distinct()
 
 
 def inherited_orphans(tables: dict[str, DataFrame], fk: ForeignKey, orphans: DataFrame) -> DataFrame:
     """Children whose parent record is itself an orphan (a semi-join with the parent table's orphans)."""
     refs = tables[fk.child].where(F.col(fk.ref).isNotNull()).select(
         F.col(fk.child_id).alias("child_key"), same_id(F.col(fk.ref)).alias("parent_key"), F.col(fk.at).alias("at")
-    ).distinct()
+    )
     up = orphans.where(F.col("child_table") == fk.parent).select(same_id(F.col("child_key")).alias("parent_key")).distinct()
     return refs.join(up, "parent_key", "left_semi").select(
         F.lit(fk.child).alias("child_table"), F.date_format("at", "yyyy-MM").alias("period"), "child_key", "parent_key", F.lit("inherited").alias("kind"), F.lit("inherited").alias("origin")
-    )
+    ).distinct()
 
 
 def _levels(keys: list[ForeignKey]) -> list[list[ForeignKey]] | None:
