@@ -139,48 +139,57 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
     return np.log1p(n / np.maximum(counts, 1)).astype(np.float32)
 
 
-def weighted_samples(code: np.ndarray, weight: np.ndarray, at: np.ndarray, first: int, many: int) -> np.ndarray:
-    """Improved consistent weighted samples `first` to `first + many` of each set (sets x many, 32-bit codes).
+def weighted_samples(code: np.ndarray, weight: np.ndarray, first: int, many: int, cells: int = 1 << 15) -> np.ndarray:
+    """Improved consistent weighted samples `first` to `first + many` (shingles x many): 32 bits that order the shingles
+    of a set, above 32 bits that name the sample, so that the least number of a set is its sample.
 
     Of the shingles x with weight w, sample k is the one with the least c / (y e^r), where y = e^(r (t - beta)),
-    t = floor(ln w / r + beta), and r, c ~ Gamma(2, 1), beta ~ U(0, 1) come from a hash of (x, k).  The code stands for
-    the pair (x, t).
+    t = floor(ln w / r + beta), and r, c ~ Gamma(2, 1), beta ~ U(0, 1) come from a hash of (x, k).  The name stands for
+    the pair (x, t).  Work is done in blocks of about `cells` numbers, which stay in the processor's cache.
     """
-    k = np.arange(first, first + many, dtype=np.uint64)
-    h = mix(code[:, None] + mix((k + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[None, :])
-    low, unit = np.uint64(0x1FFFFF), np.float32(2.0**-21)
-    r = -np.log(((h & low).astype(np.float32) + np.float32(0.5)) * unit * ((h >> np.uint64(21) & low).astype(np.float32) + np.float32(0.5)) * unit)
-    beta = ((h >> np.uint64(42) & low).astype(np.float32) + np.float32(0.5)) * unit
-    g = mix(h ^ np.uint64(0xA0761D6478BD642F))
-    c = -np.log(((g & low).astype(np.float32) + np.float32(0.5)) * unit * ((g >> np.uint64(21) & low).astype(np.float32) + np.float32(0.5)) * unit)
-    t = np.floor(np.log(weight)[:, None] / r + beta)
-    a = np.log(c) - r * (t - beta + np.float32(1))
-    bits = a.astype(np.float32).view(np.uint32)
-    order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-    name = mix(h + t.astype(np.int64).view(np.uint64)) >> np.uint64(32)
-    return order << np.uint64(32) | name
-
-
-def band_keys(code: np.ndarray, at: np.ndarray, weights: np.ndarray, bands: int, rows: int, block: int = 60_000) -> Iterator[np.ndarray]:
+    k = mix((np.arange(first, first + many, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    log_weight = np.log(weight)
+    out = np.empty((len(code), many), dtype=np.uint64)
+    unit, half = np.float32(2.0**-21), np.float32(2.0**-22)
+    low, s21, s32, s42 = np.uint64(0x1FFFFF), np.uint64(21), np.uint64(32), np.uint64(42)
+    uniform = lambda bits: bits.astype(np.int32).astype(np.float32) * unit + half
+    rows = max(1, cells // many)
+    for i in range(0, len(code), rows):
+        h = mix(code[i : i + rows, None] + k[None, :])
+        r = -np.log(uniform(h & low) * uniform((h >> s21) & low))
+        beta = uniform((h >> s42) & low)
+        g = (h ^ (h >> s32)) * np.uint64(0xA0761D6478BD642F)
+        g ^= g >> s32
+        c = -np.log(uniform(g & low) * uniform((g >> s21) & low))
+        t = np.floor(log_weight[i : i + rows, None] / r + beta)
+        a = (np.log(c) - r * (t - beta + np.float32(1))).view(np.int32)
+        order = (a ^ ((a >> 31) | np.int32(-(2**31)))).view(np.uint32)  # floats in order, as unsigned numbers
+        name = ((h ^ (t.view(np.uint32).astype(np.uint64) << s21)) * np.uint64(0x9FB21C651E98DF25)) >> s32
+        out[i : i + rows] = (order.astype(np.uint64) << s32) | name
+    return out
+
+
+def band_keys(code: np.ndarray, at: np.ndarray, weights: np.ndarray, bands: int, rows: int, cells: int = 1 << 17) -> Iterator[np.ndarray]:
     """For each band the 64-bit keys of all sets (none of them empty)."""
     distinct, where = np.unique(code, return_inverse=True)
     w = weights[slot(distinct)]
     n = len(at) - 1
+    at_once = max(1, min(80, 8_000_000 // max(1, len(distinct))) // rows)  # bounds the table of samples
     cuts = [0]
     while cuts[-1] < n:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + block, side="right")) - 1))
-    at_once = max(1, min(20, 2_000_000 // max(1, len(distinct))) // rows)  # bounds the table of samples
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + cells // (at_once * rows), side="right")) - 1))
     for band in range(0, bands, at_once):
         now = min(at_once, bands - band)
-        table = weighted_samples(distinct, w, at, band * rows, now * rows)
+        table = weighted_samples(distinct, w, band * rows, now * rows)
         least = np.empty((n, now * rows), dtype=np.uint64)
         for lo, hi in zip(cuts, cuts[1:]):
             least[lo:hi] = np.minimum.reduceat(table[where[at[lo] : at[hi]]], at[lo:hi] - at[lo], axis=0)
         least &= np.uint64(0xFFFFFFFF)
+        least = np.ascontiguousarray(least.T)
         for j in range(now):
             key = np.full(n, band + j, dtype=np.uint64)
             for i in range(rows):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, j * rows + i])
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[j * rows + i])
             yield key
 
 
