@@ -125,22 +125,46 @@ def stretches(df: DataFrame, key: str, text: str, length: int, gram: int) -> Dat
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The rank of each pair among the different pairs (from 0, in order).
+
+    Up to 2^21 pairs of numbers below 2^21 are sorted as one 64-bit number each, pair and place together.
+    """
+    n = len(first)
+    if n > 1 << 21:
+        return np.unique(first << np.uint64(32) | second, return_inverse=True)[1].astype(np.uint64)
+    packed = np.sort(first << np.uint64(42) | second << np.uint64(21) | np.arange(n, dtype=np.uint64))
+    pair = packed >> np.uint64(21)
+    rank = np.zeros(n, dtype=np.uint64)
+    np.cumsum(pair[1:] != pair[:-1], out=rank[1:])
+    out = np.empty(n, dtype=np.uint64)
+    out[(packed & np.uint64((1 << 21) - 1)).astype(np.int64)] = rank
+    return out
+
+
 def node_ranks(points: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """The rank of the suffixes at `starts` among all, by their first `depth` code points (equal ranks: equal prefixes).
 
     Prefix doubling: ranks at depth 2d come from the ranks of two neighbours at depth d; the last step lets them overlap.
+    The first ranks are of as many code points at once as fit 21 bits.
     """
-    _, rank = np.unique(points, return_inverse=True)
-    rank = rank.astype(np.uint64)
-    d = 1
+    used = np.zeros(0x110000, dtype=bool)
+    used[points] = True
+    letters = int(used.sum())
+    number = (np.cumsum(used) - 1).astype(np.uint64)
+    one = number[points]
+    width = max(1, (letters - 1).bit_length())
+    d, rank = 1, one
+    while (d + 1) * width <= 21 and d < depth:  # a rank of d code points, written as a number
+        rank = rank << np.uint64(width)
+        rank[:-d] |= one[d:]
+        d += 1
     while d * 2 <= depth:
-        pair = rank << np.uint64(32)
-        pair[:-d] |= rank[d:]
-        _, inverse = np.unique(pair, return_inverse=True)
-        rank = inverse.astype(np.uint64)
+        second = np.zeros(len(rank), dtype=np.uint64)
+        second[:-d] = rank[d:]
+        rank = _dense(rank, second)
         d *= 2
-    pair = rank[starts] << np.uint64(32) | rank[starts + depth - d]
-    return np.unique(pair, return_inverse=True)[1]
+    return _dense(rank[starts], rank[starts + depth - d]).astype(np.int64)
 
 
 def shared_runs(points: np.ndarray, starts: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
@@ -171,7 +195,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     An empty table gives no rows; further columns are not read; texts of any length are taken whole.
     """
     docs = df.where(F.length(text) >= length).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    found = stretches(docs, "k", "t", length, gram)
+    found = materialize(stretches(docs, "k", "t", length, gram))
     often = found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n")
     some = materialize(found.join(often, "h"))
     hot = F.col("n") > HOT
