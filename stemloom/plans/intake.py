@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions import documents as D
 from stemloom.operators import intake as I
-from stemloom.plans.curation import _re2, _strip  # noqa: F401
+from stemloom.plans.curation import _strip
 from stemloom.session import load
 
 QUERIES: dict = {}

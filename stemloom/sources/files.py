@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,13 @@ EXTRACTED = T.StructType([
 CSV_COLUMNS = ("sequence_number", "paper_or_chapter", "question_type", "stem", "option_a", "option_b", "option_c", "option_d", "option_e", "correct_answer", "explanation")
 
 
+def _relative(root: str) -> Column:
+    """The path of a file below the folder `root`, which may have a scheme."""
+    base = root.rstrip("/").split("://", 1)[-1]
+    path = F.regexp_replace("path", "^[a-z0-9]+:/{1,3}", "/")
+    return F.substring(path, F.lit(len(base) + 2), F.length(path))
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, size_bytes, content_hash, support_status of all files below a folder.
 
@@ -25,9 +32,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     read by one task, so its size is bounded by the task's memory.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") if "://" not in root else root.rstrip("/").split("://", 1)[1]
-    path = F.regexp_replace("path", "^[a-z0-9]+:/{1,3}", "/")
-    rel = F.expr(f"substring(path, length('{base}') + 2)") if False else F.substring(path, F.lit(len(base) + 2), F.length(path))
+    rel = _relative(root)
     return files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), F.when(F.lower(rel).rlike(TEXT_SUFFIXES), "builtin_text").otherwise("unsupported").alias("support_status"))
 
 
@@ -37,10 +42,8 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     One leading byte-order mark is dropped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").rlike(PARSE_SUFFIXES))
-    path = F.regexp_replace("path", "^[a-z0-9]+:/{1,3}", "/")
-    base = root.rstrip("/") if "://" not in root else root.rstrip("/").split("://", 1)[1]
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"^\x{FEFF}", "")
-    return files.select(F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("relative_path"), F.sha2("content", 256).alias("content_hash"), text.alias("text"))
+    return files.select(_relative(root).alias("relative_path"), F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 
 
 def registered_texts(registry: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
