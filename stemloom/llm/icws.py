@@ -21,7 +21,8 @@ from stemloom.session import materialize
 
 GAP = 0x0A  # between the texts of a record; no letter or digit
 SKETCH_BITS = 21
-BUCKET_LIMIT = 64
+#: Classes of a bucket that are compared pair by pair, which up to some hundreds costs less than their prefixes.
+BUCKET_LIMIT = 512
 SALTS = 64
 #: Classes that one sampling task takes.
 TASK_CLASSES = 10_000
