@@ -83,15 +83,18 @@ def strict_parse(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     report: key, accepted, rejected, question_like, n_findings, publishable.  Null texts are left out; an empty text has
     a report of zeros.  One shuffle by document.
     """
-    lines = classified_lines(df, key, text)
+    # texts are shuffled, not their lines: all windows and groups below are by document
+    lines = classified_lines(df.select(key, text).repartition(F.col(key)), key, text)
     d = _blocks(lines, key)
     opt = F.when(F.col("class") == "OPTION", F.struct(F.col("line").alias("line"), F.regexp_extract("text", PATTERNS["OPTION"], 1).alias("label"), F.regexp_extract("text", PATTERNS["OPTION"], 2).alias("text")))
     head = F.when(F.col("class") == "HEADER", F.struct(F.regexp_extract("text", PATTERNS["HEADER"], 1).alias("number"), F.regexp_extract("text", PATTERNS["HEADER"], 2).alias("stem")))
-    g = d.where("block > 0").groupBy(key, "block").agg(
-        F.min("head").alias("head"), F.min("head_line").alias("header_line"), F.min_by("bad", F.when(F.col("bad").isNotNull(), d["line"])).alias("bad"), F.array_sort(F.collect_list(opt)).alias("options"), F.max(head).alias("h")
-    )
+    blocks = d.groupBy(key, "block").agg(
+        F.min("head").alias("head"), F.min("head_line").alias("header_line"), F.min_by("bad", F.when(F.col("bad").isNotNull(), d["line"])).alias("bad"), F.array_sort(F.collect_list(opt)).alias("options"), F.max(head).alias("h"),
+        F.count_if((F.col("block") == 0) & F.col("bad").isNotNull()).alias("outside"), F.count_if("unclosed").alias("fences"),
+    )
     few = (F.col("head") == "HEADER") & (F.size("options") < 2)
-    g = g.withColumn("bad", F.coalesce("bad", F.when(few, F.struct(F.col("header_line").alias("line"), F.lit(STRUCTURE).alias("code"), F.lit(SUMMARIES["options"]).alias("summary")))))
+    blocks = blocks.withColumn("bad", F.coalesce("bad", F.when(few, F.struct(F.col("header_line").alias("line"), F.lit(STRUCTURE).alias("code"), F.lit(SUMMARIES["options"]).alias("summary")))))
+    g = blocks.where("block > 0")
     questions = g.where(F.col("bad").isNull()).select(
         key, F.col("h.number").alias("display_number"), F.col("h.stem").alias("stem"), "header_line", F.transform("options", lambda o: F.struct(o["label"].alias("label"), o["text"].alias("text"), o["line"].alias("line"))).alias("options")
     )
@@ -101,9 +104,7 @@ def strict_parse(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
         .unionByName(d.where((F.col("block") == 0) & F.col("bad").isNotNull()).select(key, "bad.line", "bad.code", "bad.summary"))
         .unionByName(fence)
     )
-    counts = g.groupBy(key).agg(F.count_if(F.col("bad").isNull()).alias("accepted"), F.count_if(F.col("bad").isNotNull()).alias("rejected"), F.count(F.lit(1)).alias("question_like"))
-    n = findings.groupBy(key).agg(F.count(F.lit(1)).alias("n_findings"))
-    base = df.where(F.col(text).isNotNull()).select(key).distinct()
-    report = base.join(counts, key, "left").join(n, key, "left").na.fill(0, ["accepted", "rejected", "question_like", "n_findings"])
+    real, bad = F.col("block") > 0, F.col("bad").isNotNull()
+    report = blocks.groupBy(key).agg(F.count_if(real & ~bad).alias("accepted"), F.count_if(real & bad).alias("rejected"), F.count_if(real).alias("question_like"), (F.count_if(real & bad) + F.sum("outside") + F.sum("fences")).alias("n_findings"))
     report = report.withColumn("publishable", (F.col("accepted") > 0) & (F.col("n_findings") == 0))
     return questions, findings, report

@@ -96,6 +96,11 @@ def _strip(c: str) -> str:
 _NUM = _re2(lines.NUMBER_MARKER)
 
 
+def _document_lines_by_document(spark, sf) -> DataFrame:
+    """Documents are shuffled before they are split: the windows over their lines then need no shuffle of the lines."""
+    return lines.document_lines(load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), "doc_id", "text")
+
+
 @query(f"""WITH {_LINES},
 m AS (SELECT *, {_strip('normalized_text')} AS s, regexp_matches(normalized_text, '{_NUM}') AS is_number, regexp_matches(normalized_text, '{_re2(lines.CHINESE_MARKER)}') AS is_chinese FROM n),
 p AS (SELECT *, regexp_matches(s, '{lines.HEADING}') OR s IN ('单项选择题', '多项选择题', '判断题') AS heading, {_false('s')} AS false_number, is_number OR is_chinese AS has_marker,
@@ -113,13 +118,13 @@ SELECT c.doc_id, CAST(c.line AS INTEGER) AS line, strength, CASE WHEN has_marker
 CASE WHEN has_marker AND NOT heading AND NOT false_number THEN marker END AS question_marker, CASE WHEN has_marker AND NOT heading AND NOT false_number THEN nullif(substr(stem, 1, 80), '') END AS stem_preview, coalesce(k.n, 0) >= 2 AS previous_complete, coalesce(k.n, 0) >= 1 AS option_state
 FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.line = k.line""")
 def boundary_signals(spark, sf):
-    d = lines.boundaries(lines.document_lines(load(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    d = lines.boundaries(_document_lines_by_document(spark, sf), "doc_id")
     return d.select("doc_id", "line", "strength", "question_number", "question_marker", "stem_preview", "previous_complete", "option_state")
 
 
 @query()
 def option_markers(spark, sf):
-    d = lines.boundaries(lines.document_lines(load(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    d = lines.boundaries(_document_lines_by_document(spark, sf), "doc_id")
     return lines.option_markers(d, "doc_id")
 
 
