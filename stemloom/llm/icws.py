@@ -1,9 +1,10 @@
-"""Near-duplicate records: consistent weighted samples of TF-IDF shingles, banded, verified exactly.
+"""Near-duplicate records: candidates by the rarest shingles or by weighted samples, verified exactly.
 
 Records are sets of character shingles.  Records with one and the same set form a class; all work runs on classes, and
-members are joined back last.  Each class gets bands x rows samples of improved consistent weighted sampling (the chance
-that two classes agree in one equals their weighted Jaccard similarity); classes that agree in all samples of a band are
-candidates, and candidates are verified by exact (weighted) Jaccard similarity of the shingle sets.
+members are joined back last.  Plain Jaccard similarity takes its candidates from a prefix filter over all classes, which
+no pair over the threshold escapes.  Similarity weighted by TF-IDF takes them from bands x rows samples of improved
+consistent weighted sampling (the chance that two classes agree in one equals their weighted Jaccard similarity): classes
+that agree in all samples of a band are candidates.  Candidates are verified by exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from stemloom.session import materialize
 
 GAP = 0x0A  # between the texts of a record; no letter or digit
 SKETCH_BITS = 21
-#: Classes of a bucket that are compared pair by pair, which up to some hundreds costs less than their prefixes.
+#: Classes that a batch may have in one bucket before their rows spread over salts.
 BUCKET_LIMIT = 512
 SALTS = 64
 #: Classes that one sampling task takes.
@@ -211,27 +212,79 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> DataFrame:
     """Pairs of classes (a1, a2, b1, b2) whose similarity is at least `threshold`.
 
-    Buckets of more than BUCKET_LIMIT classes are not paired as they are: there a class takes part under its
-    len - ceil(threshold * len) + 1 rarest shingles (prefix filter), which no pair over the threshold escapes; so a
-    bucket that a third of all rows share through a common passage neither emits all its pairs nor loses one.  Of the
-    pairs of a bucket only those that the sets' bitmaps cannot rule out leave the join.
-    With `weighted`, similarity is that of the TF-IDF weights and large buckets are paired whole.
+    Plain similarity loses no pair; `bands` and `rows` are not used for it.  With `weighted`, similarity is that of the
+    TF-IDF weights, and a pair of similarity v is missed with probability (1 - v^rows)^bands.
     """
     spark = classes.sparkSession
     counts = shingle_counts(classes)
     n_classes = classes.count()
-    weights = idf(counts, n_classes)
-    shared = spark.sparkContext.broadcast((weights, counts.astype(np.int32)))
     n = max(spark.sparkContext.defaultParallelism, -(-n_classes // TASK_CLASSES))
+    weights = idf(counts, n_classes) if weighted else None
+    shared = spark.sparkContext.broadcast(weights if weighted else counts.astype(np.int32))
+    pairs = banded_pairs(classes, shared, n, bands, rows) if weighted else prefix_pairs(classes, shared, n, threshold)
+    one = classes.select(F.col("c1").alias("x"), F.col("c2").alias("a2"), F.col("body").alias("body_a"))
+    two = classes.select(F.col("c1").alias("y"), F.col("c2").alias("b2"), F.col("body").alias("body_b"))
+    full = pairs.join(one, "x").join(two, "y").select(F.col("x").alias("a1"), "a2", F.col("y").alias("b1"), "b2", "body_a", "body_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value if weighted else None
+        for b in (s for x in batches for s in slices(x)):
+            s = jaccard(_text_shingles(b.column(4)), _text_shingles(b.column(5)), w)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(s >= threshold - 1e-12))
+
+    return full.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
+
+
+def prefix_pairs(classes: DataFrame, shared, n: int, threshold: float) -> DataFrame:
+    """Candidates (x < y), every pair of plain similarity >= threshold among them: the c1 of two classes.
+
+    Shingles are ordered by document frequency (`shared`), rarest first, ties by code.  Two sets of sizes a <= b that are
+    similar enough have o >= threshold / (1 + threshold) * (a + b) shingles in common; the first of them stands, in
+    either set, among the first size - o + 1.  So the larger set takes part under its b - ceil(threshold * b) + 1 rarest
+    shingles, the smaller one under fewer; what the sizes, the places of the shared shingle or the bitmaps rule out does
+    not leave the join.
+    """
+    names = ["key", "c1", "n", "rank", "small", *BITMAP]
+    schema = "key bigint, c1 bigint, n int, rank int, small boolean, " + ", ".join(f"{c} bigint" for c in BITMAP)
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = shared.value
+        for b in (s for x in batches for s in slices(x)):
+            code, at = _text_shingles(b.column(1))
+            size = np.diff(at)
+            own = np.repeat(np.arange(len(b)), size)
+            order = np.lexsort((code, df[slot(code)], own))
+            rank = np.arange(len(code)) - at[own]
+            in_larger = rank <= (size - np.ceil(threshold * size - 1e-9))[own]
+            who, rank = own[in_larger], rank[in_larger]
+            in_smaller = rank <= (size - np.ceil(2 * share * size - 1e-9))[who]
+            take = lambda column: column.take(pa.array(who))
+            key = pa.array(code[order[in_larger]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, take(b.column(0)), pa.array(size[who].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(in_smaller), *(take(c) for c in b.columns[2:])], names=names)
+
+    keyed = classes.select("c1", "body", *BITMAP).repartition(n).mapInArrow(run, schema)
+    col = lambda side: (lambda c: F.col(f"{c}_{side}"))
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names[1:]]) for side in "ab")
+    left, right = col("a"), col("b")
+    least = (left("n") + right("n")) * share - 1e-9  # shingles in common
+    first = (left("n") < right("n")) | ((left("n") == right("n")) & (left("c1") < right("c1")))
+    apart = sum((F.bit_count(left(c).bitwiseXOR(right(c))) for c in BITMAP[1:]), F.bit_count(left("w0").bitwiseXOR(right("w0"))))
+    near = apart * (1 + threshold) <= (left("n") + right("n")) * (1 - threshold) + 1e-9
+    met = a.where("small_a").join(b, "key").where(first & (left("n") - left("rank") >= least) & (right("n") - right("rank") >= least) & near)
+    return met.select(F.least("c1_a", "c1_b").alias("x"), F.greatest("c1_a", "c1_b").alias("y")).distinct()
+
+
+def banded_pairs(classes: DataFrame, shared, n: int, bands: int, rows: int) -> DataFrame:
+    """Candidates (x < y) that agree in all samples of a band: the c1 of two classes.  `shared` holds the weights."""
     limit = BUCKET_LIMIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, _ = shared.value
         for b in (s for x in batches for s in slices(x)):
             code, at = _text_shingles(b.column(1))
             c1 = b.column(0).to_numpy()
             salt = 1 + (c1.view(np.uint64) % np.uint64(SALTS)).astype(np.int16)
-            for key in band_keys(code, at, w, bands, rows):
+            for key in band_keys(code, at, shared.value, bands, rows):
                 found, where, n = np.unique(key, return_inverse=True, return_counts=True)
                 crowded = found[n > limit]
                 where_to = np.where(n[where] > limit, salt, np.int16(0))
@@ -239,55 +292,15 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80,
                 if len(crowded):
                     yield pa.RecordBatch.from_arrays([pa.array(crowded.view(np.int64)), pa.nulls(len(crowded), pa.int64()), pa.array(np.zeros(len(crowded), np.int16))], names=["key", "c1", "salt"])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, df = shared.value
-        for b in (s for x in batches for s in slices(x)):
-            code, at = _text_shingles(b.column(2))
-            own = np.repeat(np.arange(len(b)), np.diff(at))
-            order = np.lexsort((code, df[slot(code)], own))
-            size = np.diff(at)
-            keep = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            rank = np.arange(len(code)) - at[own]
-            chosen = order[rank < keep[own]]
-            who = own[rank < keep[own]]
-            key = mix(b.column(0).to_numpy().view(np.uint64)[who] * np.uint64(0x9E3779B97F4A7C15) + mix(code[chosen]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(1).take(pa.array(who))], names=["key", "c1"])
-
     # Rows of a key that is crowded within one batch are known to be of a large bucket: they spread over salts, and a row
     # without c1 tells the rest of the key, so no task gets a hot key whole.
     keyed = classes.select("c1", "body").repartition(n).mapInArrow(run, "key bigint, c1 bigint, salt smallint")
     w = Window.partitionBy("key", "salt")
     crowd = keyed.withColumns({"n": F.count("c1").over(w), "told": F.count(F.lit(1)).over(w)})
     is_large = (F.col("salt") > 0) | (F.col("n") > limit) | (F.col("told") > F.col("n"))
-    crowd = materialize(crowd.withColumn("large", is_large).where("c1 IS NOT NULL AND (n > 1 OR large)").select("key", "c1", "large"))
-    small = crowd if weighted else crowd.where("NOT large")
-    small = small.select("key", "c1")
-    if not weighted:
-        large = crowd.where("large").select("key", "c1").join(classes.select("c1", "body"), "c1").select("key", "c1", "body")
-        small = small.unionByName(large.mapInArrow(prefixes, "key bigint, c1 bigint"))
-    if weighted:
-        a, b = small.select("key", F.col("c1").alias("x")), small.select("key", F.col("c1").alias("y"))
-        pairs = a.join(b, "key").where("x < y").select("x", "y").distinct()
-    else:
-        # a shared c1 of two classes only lets more pairs through to the exact check
-        marks = classes.groupBy("c1").agg(*[F.first(c).alias(c) for c in ("n", *BITMAP)], F.count(F.lit(1)).alias("same"))
-        held = materialize(small.distinct().join(marks, "c1"))
-        a = held.select("key", F.col("c1").alias("x"), F.col("n").alias("n_a"), F.col("same").alias("same_a"), *[F.col(c).alias(f"{c}_a") for c in BITMAP])
-        b = held.select("key", F.col("c1").alias("y"), F.col("n").alias("n_b"), F.col("same").alias("same_b"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
-        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITMAP[1:]), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
-        near = apart * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-9
-        pairs = a.join(b, "key").where((F.col("x") < F.col("y")) & (near | (F.col("same_a") + F.col("same_b") > 2))).select("x", "y").distinct()
-    one = classes.select(F.col("c1").alias("x"), F.col("c2").alias("a2"), F.col("body").alias("body_a"))
-    two = classes.select(F.col("c1").alias("y"), F.col("c2").alias("b2"), F.col("body").alias("body_b"))
-    full = pairs.join(one, "x").join(two, "y").select(F.col("x").alias("a1"), "a2", F.col("y").alias("b1"), "b2", "body_a", "body_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value[0] if weighted else None
-        for b in (s for x in batches for s in slices(x)):
-            s = jaccard(_text_shingles(b.column(4)), _text_shingles(b.column(5)), w)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(s >= threshold - 1e-12))
-
-    return full.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
+    held = materialize(crowd.where(F.col("c1").isNotNull() & ((F.col("n") > 1) | is_large)).select("key", "c1"))
+    a, b = held.select("key", F.col("c1").alias("x")), held.select("key", F.col("c1").alias("y"))
+    return a.join(b, "key").where("x < y").select("x", "y").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +308,7 @@ def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6,
 
     Records are arrays of texts; null texts and arrays count as empty, and records without a shingle belong to no
     class.  Repeated rows give repeated members.  An empty table gives two empty results; further columns are not read.
-    A pair of similarity s is missed with probability (1 - v^rows)^bands, v being its weighted similarity.
+    No pair is missed, unless `weighted` (see similar_classes).
     """
     members = materialize(record_classes(df, key, texts))
     classes = materialize(members.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("body", "n", *BITMAP)]))

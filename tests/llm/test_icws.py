@@ -60,6 +60,18 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_common_passage_with_defaults(spark):
+    """Pairs alike through a passage that all rows hold, which weighs next to nothing; all are found as called by p1_found."""
+    common = "".join(chr(0x4E00 + i) for i in range(102))
+    rows = [(f"k{i:03}", [common + "".join(chr(0x6000 + i * 60 + j) for j in range(20 + i % 3 * 12))]) for i in range(90)] + [("s1", ["abcd"]), ("s2", ["abcde"]), ("s3", ["abc"])]
+    df = spark.createDataFrame(rows, "id string, texts array<string>")
+    sets = {k: shingles(t) for k, t in rows}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in near_duplicate_pairs(df, "id", "texts").collect()]
+    assert 0 < len(want) < len(sets) * (len(sets) - 1) / 2
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     words = np.array([chr(0x4E00 + i) for i in range(400)])
