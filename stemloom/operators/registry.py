@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemloom.functions.text import stable_id
+from stemloom.session import materialize
 
 
 def reconcile(previous: DataFrame, current: DataFrame, dataset: str = "dataset") -> tuple[DataFrame, DataFrame]:
@@ -69,18 +70,34 @@ def snapshot_diff(parent: DataFrame, child: DataFrame, key: str, fixed: list[str
     return j.select(key, kind.alias("change"), "from_state", "to_state")
 
 
-def ancestry(snapshots: DataFrame, key: str, parent: str, limit: int = 64) -> DataFrame:
+def ancestry(snapshots: DataFrame, key: str, parent: str) -> DataFrame:
     """key, ancestor, distance over a parent-linked list, by pointer doubling: log2(length) joins, no recursion in rows.
 
-    Unknown parents end a chain; cycles are cut at `limit` steps."""
-    step = snapshots.where(F.col(parent).isNotNull()).select(F.col(key).alias("key"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
-    paths, reach = step, 1
-    jump = step
-    while reach < limit:
-        far = paths.alias("p").join(jump.alias("j"), F.col("p.ancestor") == F.col("j.key")).select(F.col("p.key"), F.col("j.ancestor"), (F.col("p.distance") + F.col("j.distance")).alias("distance"))
-        paths = paths.unionByName(far)
-        reach *= 2
-        if reach >= limit:
+    A key has one parent; a link given twice counts twice.  Unknown parents end a chain, however long.  Keys that lead
+    into a cycle (they have more steps than there are keys) get each ancestor once, at its least distance; those on the
+    cycle are their own ancestors.
+    """
+    step = materialize(snapshots.where(F.col(parent).isNotNull()).select(F.col(key).alias("key"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")))
+    n_keys, jumps = step.select("key").distinct().count(), [step]
+    while 2 ** (len(jumps) - 1) <= n_keys and not jumps[-1].isEmpty():
+        jumps.append(materialize(_further(jumps[-1], jumps[-1])))
+    endless = jumps[-1].select("key").distinct()
+    cyclic = not endless.isEmpty()
+    paths = step.join(endless, "key", "left_anti") if cyclic else step
+    for jump in jumps[:-1]:
+        paths = paths.unionByName(_further(paths, jump))
+    if not cyclic:
+        return paths
+    once = step.join(endless, "key", "left_semi").groupBy("key", "ancestor").agg(F.min("distance").alias("distance"))
+    for jump in jumps:
+        far = _further(once, jump).groupBy("key", "ancestor").agg(F.min("distance").alias("distance"))
+        new = materialize(far.join(once, ["key", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.ancestor") == F.col("b.key")).select(F.col("a.key"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-    return paths
+        once = once.unionByName(new)
+    return paths.unionByName(once)
+
+
+def _further(paths: DataFrame, jump: DataFrame) -> DataFrame:
+    """Each path lengthened by the jump from its end."""
+    return paths.alias("p").join(jump.alias("j"), F.col("p.ancestor") == F.col("j.key")).select(F.col("p.key"), F.col("j.ancestor"), (F.col("p.distance") + F.col("j.distance")).alias("distance"))

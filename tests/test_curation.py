@@ -45,6 +45,16 @@ def test_ancestry_by_doubling(spark):
     assert got == {(i, j, i - j) for i in range(n) for j in range(i)}
 
 
+def test_ancestry_of_long_chains_and_cycles(spark):
+    n = 150
+    links = [(f"c{i}", f"c{i - 1}") for i in range(1, n)] + [("x", "y"), ("y", "z"), ("z", "x"), ("t", "x"), ("u", "t"), ("s", "s"), ("r", None)]
+    got = sorted(tuple(r) for r in registry.ancestry(spark.createDataFrame(links, "k string, p string"), "k", "p").collect())
+    chain = [(f"c{i}", f"c{j}", i - j) for i in range(n) for j in range(i)]
+    ring = [("x", "y", 1), ("x", "z", 2), ("x", "x", 3), ("y", "z", 1), ("y", "x", 2), ("y", "y", 3), ("z", "x", 1), ("z", "y", 2), ("z", "z", 3), ("s", "s", 1)]
+    tail = [("t", "x", 1), ("t", "y", 2), ("t", "z", 3), ("u", "t", 1), ("u", "x", 2), ("u", "y", 3), ("u", "z", 4)]
+    assert got == sorted(chain + ring + tail)
+
+
 def test_association(spark):
     q = spark.createDataFrame([("s", 1, "q1", ["A", "B"]), ("s", 2, "q2", ["A", "B"]), ("s", 3, "q3", ["A"]), ("s", 4, "q4", ["A", "B"]), ("s", 4, "q5", ["A"]), ("s", None, "q6", ["A"]), ("t", 1, "q7", ["A"])], "source_id string, question_number long, question_id string, labels array<string>")
     e = spark.createDataFrame([("s", 1, "A", "l1"), ("s", 1, "A", "l9"), ("s", 2, "A", "l2"), ("s", 2, "B", "l3"), ("s", 3, "Z", "l4"), ("s", 9, "A", "l5"), ("s", None, "A", "l6"), ("s", 4, "A", "l7")], "source_id string, question_number long, label string, locator string")
