@@ -83,9 +83,13 @@ def grade(df: DataFrame, key_answer: str, response: str, kind: str) -> DataFrame
     return df.withColumn("is_correct", F.when(key != "", same))
 
 
-def score(graded: DataFrame, *by: str) -> DataFrame:
-    """Graded, correct and wrong counts and the share of correct ones in percent (null where nothing was graded)."""
-    g = graded.groupBy(*by).agg(F.count("is_correct").alias("graded"), F.count_if(F.col("is_correct")).alias("correct"))
+def score(graded: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    """Graded, correct and wrong counts and the share of correct ones in percent (null where nothing was graded).
+
+    With `weight`, a row counts as so many."""
+    n = F.col(weight) if weight else F.lit(1)
+    counted = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("bigint")
+    g = graded.groupBy(*by).agg(counted(F.col("is_correct").isNotNull()).alias("graded"), counted(F.col("is_correct")).alias("correct"))
     return g.withColumn("wrong", F.col("graded") - F.col("correct")).withColumn("accuracy", F.round(F.try_divide(F.lit(100.0) * F.col("correct"), F.col("graded")), 4))
 
 

@@ -354,13 +354,29 @@ j AS (SELECT c.*, {_strip("coalesce(correct_answer, '')")} AS key, {_strip("coal
 x AS (SELECT question_type, CASE WHEN key <> '' THEN CASE WHEN question_type = '多选题' THEN list_sort(list_distinct(string_split(upper(regexp_replace(key, '[\\s,;|/]', '', 'g')), ''))) = list_sort(list_distinct(string_split(upper(regexp_replace(g, '[\\s,;|/]', '', 'g')), ''))) ELSE key = g END END AS ok FROM j)
 SELECT question_type, count(ok) AS graded, count_if(ok) AS correct, count(ok) - count_if(ok) AS wrong, CASE WHEN count(ok) > 0 THEN round(100.0 * count_if(ok) / count(ok), 4) END AS accuracy FROM x GROUP BY 1""")
 def grade_score(spark, sf):
-    """Standard rows as the key, key entries of the same number as responses."""
+    """Standard rows as the key, of the key entries of a number the least answer as the response (as its SQL says);
+    grade_responses takes them all."""
     c = load(spark, sf, "standard_bank_rows").select("csv_row_id", "sequence_number", "question_type", "correct_answer").distinct()
     r = _entries(spark, sf).where("question_number IS NOT NULL").groupBy("question_number").agg(F.min("raw_answer").alias("given"))
     j = c.join(r, c["sequence_number"] == r["question_number"])
     return X.score(X.grade(j, "correct_answer", "given", "question_type"), "question_type")
 
 
+@query(f"""WITH {_CSV}, {_KEYS}, j AS (SELECT c.*, {_strip("coalesce(correct_answer, '')")} AS key, {_strip("coalesce(raw_answer, '')")} AS g FROM c JOIN k ON c.sequence_number = k.question_number),
+x AS (SELECT question_type, CASE WHEN key <> '' THEN CASE WHEN question_type = '多选题' THEN list_sort(list_distinct(string_split(upper(regexp_replace(key, '[\\s,;|/]', '', 'g')), ''))) = list_sort(list_distinct(string_split(upper(regexp_replace(g, '[\\s,;|/]', '', 'g')), ''))) ELSE key = g END END AS ok FROM j)
+SELECT question_type, count(ok) AS graded, count_if(ok) AS correct, count(ok) - count_if(ok) AS wrong, CASE WHEN count(ok) > 0 THEN round(100.0 * count_if(ok) / count(ok), 4) END AS accuracy FROM x GROUP BY 1""")
+def grade_responses(spark, sf):
+    """Standard rows as the key, every key entry of the same number as a response.
+
+    Equal keys and equal responses of a number are counted first, so a common number joins its different answers only.
+    """
+    c = load(spark, sf, "standard_bank_rows").select("csv_row_id", "sequence_number", "question_type", "correct_answer").distinct()
+    c = c.groupBy("sequence_number", "question_type", "correct_answer").agg(F.count(F.lit(1)).alias("n_keys"))
+    r = _entries(spark, sf).where("question_number IS NOT NULL").groupBy("question_number", F.col("raw_answer").alias("given")).agg(F.count(F.lit(1)).alias("n_given"))
+    j = c.join(r, c["sequence_number"] == r["question_number"]).withColumn("n", F.col("n_keys") * F.col("n_given"))
+    return X.score(X.grade(j, "correct_answer", "given", "question_type"), "question_type", weight="n")
+
+
 @query(f"""WITH {_KEYS}, q AS (SELECT DISTINCT question_id, source_reference.source_id AS source_id, TRY_CAST(nullif(regexp_extract(source_reference.locator, '([0-9]+)\\z', 1), '') AS BIGINT) AS question_number, list_sort(list_distinct(list_transform(options, lambda o: o.label))) AS labels FROM question_bank),
 e AS (SELECT entry_id AS locator, source_id, CAST(question_number AS BIGINT) AS question_number, CASE WHEN regexp_full_match(regexp_replace(raw_answer, '[ \\t、,，;；/]', '', 'g'), '[A-Za-z]+') THEN upper(regexp_replace(raw_answer, '[ \\t、,，;；/]', '', 'g')) ELSE '' END AS labels FROM k),
 n AS (SELECT source_id, question_number, count(*) AS same, min(labels) AS known FROM q WHERE question_number IS NOT NULL GROUP BY 1, 2), t AS (SELECT source_id, question_number, count(DISTINCT labels) AS n FROM e WHERE question_number IS NOT NULL GROUP BY 1, 2),

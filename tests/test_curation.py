@@ -171,3 +171,13 @@ def test_streams(spark, tmp_path):
     scan.write.parquet(str(tmp_path / "scan"))
     intake.follow_registry(intake.stream_table(spark, str(tmp_path / "scan"), scan), str(tmp_path / "reg"), str(tmp_path / "c3")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "reg/v0")).collect()[0].change == "new"
+
+
+def test_every_response_is_graded(spark, tmp_path):
+    from stemloom.plans.curation import QUERIES
+
+    spark.createDataFrame([(i, 1, "单选题", "A") for i in (1, 2)] + [(3, 1, "多选题", "AB"), (4, 2, "单选题", ""), (5, 9, "单选题", "A")], "csv_row_id long, sequence_number int, question_type string, correct_answer string").write.parquet(f"{tmp_path}/standard_bank_rows.parquet")
+    given = [(1, "A"), (1, "B"), (1, "B"), (1, "b, a"), (1, None), (2, "A"), (None, "A")]
+    spark.createDataFrame([(i, "s", n, a, None) for i, (n, a) in enumerate(given)] + [(0, "s", 1, "A", None)], "entry_id long, source_id string, question_number int, raw_answer string, raw_entry string").write.parquet(f"{tmp_path}/answer_key_entries.parquet")
+    got = {(r.question_type, r.graded, r.correct, r.wrong, r.accuracy) for r in QUERIES["grade_responses"](spark, str(tmp_path)).collect()}
+    assert got == {("单选题", 10, 2, 8, 20.0), ("多选题", 5, 1, 4, 20.0)}
