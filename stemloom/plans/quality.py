@@ -35,10 +35,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_delimiters(spark: SparkSession, sf: str) -> DataFrame:
-    """The delimiters inferred for each answer source."""
-    keys, _ = _answers(spark, sf)
-    p = delimiter_profile(keys, "source_id", "raw_answer")
-    return p.select("source", "delimiter", "n_fields", *[F.round(c, 6).alias(c) for c in ("consistency", "regularity", "score")])
+    """The delimiters inferred for each answer source, of both tables (origin); all standard_bank_rows are one source."""
+    keys, rows = _answers(spark, sf)
+    a = delimiter_profile(keys, "source_id", "raw_answer").withColumn("origin", F.lit("answer_key_entries"))
+    b = delimiter_profile(rows, "source", "correct_answer").withColumn("origin", F.lit("standard_bank_rows"))
+    return a.unionByName(b).select("origin", "source", "delimiter", "n_fields", *[F.round(c, 6).alias(c) for c in ("consistency", "regularity", "score")])
 
 
 def _cascade(spark: SparkSession, sf: str) -> DataFrame:
