@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +47,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Folders written by materialize that are still there.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files go away when the driver process ends.
+    With `by`, each value of that integer column gets a folder of its own, so a filter on it reads only its files.  The files go away
+    when the block of a surrounding `scratch()` ends, else when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stemloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append((spark, path))
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables materialized inside the block are removed at its end; results must have been consumed by then.
+
+    For long sessions: `with scratch(): p9_found(spark, folder).write.parquet(out)`.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _remove(*_written.pop())
+
+
+@atexit.register
+def _remove_all() -> None:
+    while _written:
+        _remove(*_written.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -74,3 +101,38 @@ def salted(df: DataFrame, salts: int, *by: str) -> DataFrame:
 def unsalted(df: DataFrame, salts: int) -> DataFrame:
     """The other side of a salted join: every row once for each salt."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+#: Rows of one key from which it counts as hot.
+HOT_ROWS = 100_000
+#: The most hot keys there can be, whatever the table: the bound of what is broadcast for them.
+MOST_HOT = 1 << 17
+
+
+def hot_limit(n_rows: int, limit: int = HOT_ROWS) -> int:
+    """The number of rows above which a key is hot: at least `limit`, and so many that at most MOST_HOT keys can be."""
+    return max(limit, n_rows // MOST_HOT)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, n_rows: int, limit: int = HOT_ROWS) -> DataFrame:
+    """Rows joined with the one row of their group (inner join), `size` being the group's number of rows.
+
+    Hot groups (see hot_limit; their number has a bound) are broadcast: their rows are not shuffled.  All other groups
+    are too small to burden a task.
+    """
+    top = hot_limit(n_rows, limit)
+    hot, cold = groups.where(F.col(size) > top), groups.where(F.col(size) <= top)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
+def join_hot(rows: DataFrame, other: DataFrame, on: str, hot: DataFrame, salts: int = 64) -> DataFrame:
+    """Inner join in which the keys of `hot` (column `on`, a bounded number of rows) hold many of `rows`.
+
+    Those rows spread over `salts` by a hash of the whole row; the other side's rows of hot keys are repeated for each salt.
+    """
+    marked = F.broadcast(hot.select(on).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    left = rows.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(marked, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [on, "_salt"]).drop("_salt")
