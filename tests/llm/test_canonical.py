@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from stemloom.llm import canonical
-from stemloom.llm.canonical import bloom_filters, canonical_rows, collapsed, hidden_copies, possible_repeats
+from stemloom.llm.canonical import bloom_filter, canonical_rows, collapsed, hidden_copies, possible_repeats
 from tests.llm.test_plain import slow
 
 
@@ -41,15 +41,26 @@ def test_odd_rows(spark):
     assert copies.count() == singles.count() == 0
 
 
-@pytest.mark.parametrize("max_bits", [1 << 13, 1 << 20])
-def test_filter_misses_no_repeat(spark, max_bits):
+@pytest.mark.parametrize("range_rows", [500, 1 << 20])
+def test_filter_misses_no_repeat(spark, range_rows):
     df = spark.range(0, 6000, numPartitions=5).selectExpr("id", "concat('t', CASE WHEN id % 3 = 0 THEN id % 500 ELSE id + 10000 END) AS canonical").selectExpr("*", "xxhash64(canonical) AS hash")
-    maybe, single = possible_repeats(df, max_bits=max_bits)
+    marked = possible_repeats(df, 6000, range_rows)
     counts = df.groupBy("canonical").count()
-    assert single.join(counts.where("count > 1"), "canonical", "left_semi").count() == 0
-    assert maybe.count() + single.count() == 6000
-    if max_bits > 1 << 15:
-        assert maybe.count() < 2100
+    assert marked.where("NOT again").join(counts.where("count > 1"), "canonical", "left_semi").count() == 0
+    assert marked.count() == 6000 and marked.where("again").count() < 2100
+
+
+def test_share_of_passing_rows_does_not_grow_with_the_table(spark):
+    """Unique rows that pass by chance: as few with 25 ranges as with one, since bits a row are fixed."""
+    df = spark.range(0, 400_000, numPartitions=8).selectExpr("id", "xxhash64(id, 7) AS hash")
+    passed = [possible_repeats(df.limit(n) if n < 400_000 else df, n, 16_384).where("again").count() / n for n in (16_384, 400_000)]
+    assert max(passed) < 0.01
+
+
+def test_ranges_give_the_same_copies(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/extracted_questions.parquet")
+    one, many = ([sorted(tuple(r) for r in x.collect()) for x in hidden_copies(df, range_rows=n)] for n in (1 << 24, 20))
+    assert one == many and one[0] and one[1]
 
 
 def test_one_group_with_a_third_of_the_rows(spark):
@@ -60,9 +71,9 @@ def test_one_group_with_a_third_of_the_rows(spark):
 
 def test_segments_are_put_back_in_place(spark):
     df = spark.range(0, 4000, numPartitions=3).selectExpr("xxhash64(id % 1000) AS hash")
-    packed, bits = bloom_filters(df, 1 << 16, segment_bits=1 << 13)
+    packed = bloom_filter(df, 1 << 16, segment_bits=1 << 13)
     h = np.array([r.hash for r in df.distinct().collect()])
-    pos = canonical._bits(h, bits)
+    pos = canonical._bits(h, 1 << 16)
     assert np.unpackbits(packed)[pos.astype(np.int64)].all()
 
 
