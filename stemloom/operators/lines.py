@@ -12,7 +12,7 @@ NUMBER_MARKER = r"^[ \t]*(?:(\(([1-9][0-9]*)\)|（([1-9][0-9]*)）)|([1-9][0-9]*
 CHINESE_MARKER = r"^[ \t]*([一二三四五六七八九十])、[ \t]*((?s:.*))\z"
 OPTION_LINE = rf"^[ \t]*[-*+]?[ \t]*([A-Z])[.)、．][ \t]+[^{WHITE}](?s:.*[^{WHITE}])?[ \t]*\z"
 HEADING = r"^第[一二三四五六七八九十0-9]+[章节]"
-HEADING_TITLES = ("单项选择题", "多项选择题", "判断题")
+HEADING_TITLES = ("单项选择题", "多项选择题", "课程名称")
 FALSE_NUMBERS = (
     r"^[0-9]{4}[.．][0-9]{1,2}[.．][0-9]{1,2}(?:\P{Nd}|\z)",
     r"(?i)^[0-9]+[.．][0-9]+(?:[ \t]*(?:mg|g/L|mmHg|℃|cm|mm|ml))?(?:\P{Nd}|\z)",
@@ -21,7 +21,8 @@ FALSE_NUMBERS = (
     rf"^(?:第[{WHITE}]*)?[0-9]+[{WHITE}]*页\z|^页[{WHITE}]*[0-9]+\z",
 )
 TYPE_MARKER = "[single_choice]"
-MARKER = r"(?:\([A-Za-z]\)|（[A-Za-z]）|[A-Za-z][.、．)：）])"
+MARKER = r"(?:\([A-Za-z]\)|（[A-Za-z]）|[A-Za-z][.、．)：])"
+LETTER_GROUP = "^[ \\t]*[A-Za-z]、[A-Za-z](?:两组|组)"
 
 
 def document_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,40 +103,73 @@ def boundaries(lines: DataFrame, key: str, text: str = "normalized_text") -> Dat
         key, "line", "strength", "is_boundary", F.when(shown, F.col("number")).alias("question_number"), F.when(shown, F.col("marker")).alias("question_marker"),
         F.when(shown, F.nullif(F.substring("stem", 1, 80), F.lit(""))).alias("stem_preview"), warning.alias("warning"), F.col("has_marker").alias("number_marker"),
         (F.coalesce("n_labels", F.lit(0)) >= 2).alias("previous_complete"), (F.coalesce("n_labels", F.lit(0)) >= 1).alias("option_state"), F.when(shown, F.col("plausible")).alias("plausible_stem"), text,
+        *(["raw_text"] if "raw_text" in lines.columns and text != "raw_text" else []),
     )
 
 
-def option_markers(bounded: DataFrame, key: str, text: str = "normalized_text") -> DataFrame:
-    """Options found under question boundaries: key, line, ordinal, label, style, option_text, flags.
+def _marked(bounded: DataFrame, key: str, text: str) -> DataFrame:
+    """The lines under question boundaries as rows: markers with their text, continuation lines (marker null), letter groups.
 
-    Lines before the first boundary and boundary lines yield none; text after a marker runs to the next marker of the
-    line; labels are checked over the whole document (repeated, or out of sequence).  Continuation lines are counted.
+    `ordinal` numbers the options of the document; rows that are no option have that of the option before them.
     """
     w = Window.partitionBy(key).orderBy("line")
+    raw = F.col("raw_text" if "raw_text" in bounded.columns else text)
     d = bounded.withColumn("active", F.max(F.col("is_boundary").cast("int")).over(w)).where("active = 1 AND NOT is_boundary")
     t = F.col(text)
-    d = d.where(~t.rlike("^[ \\t]*[A-Za-z]、[A-Za-z](?:两组|组)"))
     lead = rf"^[ \t]*(?:[-*+][ \t]*)?({MARKER}(?s:.*))\z"
-    d = d.withColumn("body", F.nullif(F.regexp_extract(t, lead, 1), F.lit("")))
+    d = d.withColumns({"group_line": t.rlike(LETTER_GROUP), "body": F.nullif(F.regexp_extract(t, lead, 1), F.lit(""))})
     inline = rf"(?<![^{WHITE}]){MARKER}"
     marks, texts = F.regexp_extract_all("body", F.lit(f"({inline})"), F.lit(1)), F.split("body", inline, -1)
-    zipped = F.when(F.col("body").isNotNull(), F.arrays_zip(marks.alias("m"), F.slice(texts, F.lit(2), F.size(marks)).alias("x"))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("m"), F.lit(None).cast("string").alias("x"))))
-    rows = d.where(F.col("body").isNotNull() | strip(t).rlike(".")).select(key, "line", F.posexplode(zipped).alias("at", "z"))
-    rows = rows.select(key, "line", "at", F.col("z.m").alias("marker"), strip(F.col("z.x")).alias("option_text"))
-    letter = F.regexp_extract("marker", "([A-Za-z])", 1)
+    one = F.array(F.struct(F.lit(None).cast("string").alias("m"), raw.alias("x")))
+    zipped = F.when(F.col("group_line") | F.col("body").isNull(), one).otherwise(F.arrays_zip(marks.alias("m"), F.slice(texts, F.lit(2), F.size(marks)).alias("x")))
+    rows = d.where(F.col("group_line") | F.col("body").isNotNull() | (strip(t) != "")).select(key, "line", "group_line", F.posexplode(zipped).alias("at", "z"))
+    rows = rows.select(key, "line", "group_line", "at", F.col("z.m").alias("marker"), strip(F.col("z.x")).alias("found"))
     last = F.substring("marker", -1, 1)
     style = (
         F.when(F.col("marker").startswith("("), "parenthesized").when(F.col("marker").startswith("（"), "fullwidth_parenthesized")
-        .when(last == ".", "dot").when(last == "、", "ideographic_comma").when(last == "．", "fullwidth_dot").when(last == ")", "close_parenthesis").when(last == "）", "fullwidth_close_parenthesis").when(last == "：", "fullwidth_colon")
+        .when(last == ".", "dot").when(last == "、", "ideographic_comma").when(last == "．", "fullwidth_dot").when(last == ")", "close_parenthesis").when(last == "：", "fullwidth_colon")
     )
-    rows = rows.withColumns({"label": F.upper(letter), "style": style, "lowercase": F.col("marker").rlike("^[a-z]"), "is_option": F.col("marker").isNotNull() & (F.col("option_text") != "")})
-    by = Window.partitionBy(key).orderBy("line", "at")
-    rows = rows.withColumn("ordinal", F.sum(F.col("is_option").cast("int")).over(by))
-    cont = rows.groupBy(key, "ordinal").agg(F.count_if(F.col("marker").isNull()).alias("continuations"))
-    opts = rows.where("is_option")
-    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(F.ascii("label")).over(earlier)
-    seen = F.row_number().over(Window.partitionBy(key, "label").orderBy("line", "at")) > 1
-    gap = ~seen & (F.ascii("label") != F.coalesce(top + 1, F.lit(65)))
-    opts = opts.select(key, "line", "ordinal", "label", "style", "option_text", "lowercase", seen.alias("duplicate_label"), gap.alias("sequence_gap"))
-    return opts.join(cont, [key, "ordinal"], "left")
+    rows = rows.withColumns({"label": F.upper(F.regexp_extract("marker", "([A-Za-z])", 1)), "style": style, "is_option": F.col("marker").isNotNull() & (F.col("found") != "")})
+    lower = F.when(F.col("marker").rlike("^[a-z]"), F.lit("LOWERCASE_LABEL_NORMALIZED"))
+    empty = F.when(F.col("found") == "", F.lit("INCOMPLETE_OPTION_MARKER"))
+    rows = rows.withColumn("own_warnings", F.when(F.col("marker").isNotNull(), F.array_compact(F.array(lower, empty))))
+    return rows.withColumn("ordinal", F.sum(F.col("is_option").cast("int")).over(Window.partitionBy(key).orderBy("line", "at")))
+
+
+def marker_evidence(bounded: DataFrame, key: str, text: str = "normalized_text") -> DataFrame:
+    """Every option marker, those without a text too: key, line, marker, label, style, confidence, warnings."""
+    m = _marked(bounded, key, text).where(F.col("marker").isNotNull())
+    return m.select(key, "line", "at", "marker", "label", "style", F.when(F.col("found") == "", "low").otherwise("high").alias("confidence"), F.col("own_warnings").alias("warnings"))
+
+
+def option_markers(bounded: DataFrame, key: str, text: str = "normalized_text") -> DataFrame:
+    """Options found under question boundaries: key, line, ordinal, label, marker, style, option_text, continuation_lines, warnings.
+
+    Lines before the first boundary and boundary lines yield none; text after a marker runs to the next marker of the
+    line; non-blank lines without a marker are added to the option before them, as they stand (raw_text, where the table
+    has it).  Labels are checked over the whole document: repeated, or not the one after the greatest so far.  The widest
+    group is one document.
+    """
+    rows = _marked(bounded, key, text).where("ordinal > 0 AND NOT group_line")
+    option = F.max(F.when(F.col("is_option"), F.struct("line", "label", "marker", "style", "found", "own_warnings"))).alias("o")
+    more = F.array_sort(F.collect_list(F.when(F.col("marker").isNull(), F.struct("line", "found")))).alias("more")
+    g = rows.groupBy(key, "ordinal").agg(option, more).select(key, "ordinal", "o.*", "more")
+    by = Window.partitionBy(key).orderBy("ordinal")
+    top = F.max(F.ascii("label")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.row_number().over(Window.partitionBy(key, "label").orderBy("ordinal")) > 1
+    g = g.withColumns({"seen": seen, "gap": ~seen & (F.ascii("label") != F.coalesce(top + 1, F.lit(65)))})
+    place = F.when(F.col("seen"), F.lit("DUPLICATE_OPTION_LABEL")).when(F.col("gap"), F.lit("OPTION_SEQUENCE_GAP"))
+    return g.select(
+        key, "line", "ordinal", "label", "marker", "style", F.array_join(F.concat(F.array("found"), F.col("more.found")), "\n").alias("option_text"), F.col("more.line").alias("continuation_lines"),
+        F.array_compact(F.concat("own_warnings", F.array(place))).alias("warnings"),
+    )
+
+
+def option_report(bounded: DataFrame, key: str, text: str = "normalized_text") -> DataFrame:
+    """Per document with any line under a boundary: n_options, confidence (none, medium with a warning, else high), warnings in order of name."""
+    rows = _marked(bounded, key, text)
+    group = F.when(F.col("group_line"), F.array(F.lit("LETTER_GROUP_NOT_OPTION")))
+    of_lines = rows.select(key, F.col("is_option").cast("int").alias("n"), F.coalesce(group, F.array_intersect("own_warnings", F.array(F.lit("INCOMPLETE_OPTION_MARKER"))), F.array().cast("array<string>")).alias("ws"))
+    of_options = option_markers(bounded, key, text).select(key, F.lit(0).alias("n"), F.array_except("warnings", F.array(F.lit("LOWERCASE_LABEL_NORMALIZED"))).alias("ws"))
+    both = of_lines.unionByName(of_options).groupBy(key).agg(F.sum("n").alias("n_options"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ws")))).alias("warnings"))
+    return both.select(key, "n_options", F.when(F.col("n_options") == 0, "none").when(F.size("warnings") > 0, "medium").otherwise("high").alias("confidence"), "warnings")

@@ -103,7 +103,7 @@ def _document_lines_by_document(spark, sf) -> DataFrame:
 
 @query(f"""WITH {_LINES},
 m AS (SELECT *, {_strip('normalized_text')} AS s, regexp_matches(normalized_text, '{_NUM}') AS is_number, regexp_matches(normalized_text, '{_re2(lines.CHINESE_MARKER)}') AS is_chinese FROM n),
-p AS (SELECT *, regexp_matches(s, '{lines.HEADING}') OR s IN ('单项选择题', '多项选择题', '判断题') AS heading, {_false('s')} AS false_number, is_number OR is_chinese AS has_marker,
+p AS (SELECT *, regexp_matches(s, '{lines.HEADING}') OR s IN ('单项选择题', '多项选择题', '课程名称') AS heading, {_false('s')} AS false_number, is_number OR is_chinese AS has_marker,
   CASE WHEN is_number THEN {_strip(f"regexp_extract(normalized_text, '{_NUM}', 6)")} WHEN is_chinese THEN {_strip(f"regexp_extract(normalized_text, '{_re2(lines.CHINESE_MARKER)}', 2)")} END AS stem0,
   CASE WHEN is_number THEN coalesce(nullif(regexp_extract(normalized_text, '{_NUM}', 1), ''), regexp_extract(normalized_text, '{_NUM}', 4) || regexp_extract(normalized_text, '{_NUM}', 5)) WHEN is_chinese THEN regexp_extract(normalized_text, '{_re2(lines.CHINESE_MARKER)}', 1) || '、' END AS marker,
   CASE WHEN is_number THEN TRY_CAST(coalesce(nullif(regexp_extract(normalized_text, '{_NUM}', 2), ''), nullif(regexp_extract(normalized_text, '{_NUM}', 3), ''), nullif(regexp_extract(normalized_text, '{_NUM}', 4), '')) AS BIGINT) END AS number FROM m),

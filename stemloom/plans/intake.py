@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import functions as F
 
 from stemloom.functions import documents as D
@@ -12,22 +16,58 @@ from stemloom.session import load
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+# The rules of a bank document.
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+_ID, _TEXT, _FILLED = {"type": "string", "pattern": UUID}, {"type": "string"}, {"type": "string", "minLength": 1}
 BANK_SCHEMA = {
-    "type": "object", "required": ["schema_version", "bank_id", "title", "questions"], "additionalProperties": False,
+    "type": "object", "additionalProperties": False, "required": ["schema_version", "bank_id", "title", "questions", "sources"],
     "properties": {
-        "schema_version": {"const": "1.0"}, "bank_id": {"type": "string", "pattern": "[0-9a-f-]{36}"}, "title": {"type": "string", "minLength": 1},
-        "sources": {"type": "array", "items": {"type": "object", "required": ["source_id", "source_type", "source_file"]}},
-        "questions": {"type": "array", "items": {
-            "type": "object", "required": ["question_id", "question_revision", "question_type", "stem", "options", "source_reference", "status"],
+        "schema_version": {"const": "1.0"}, "bank_id": _ID, "title": _FILLED,
+        "questions": {"type": "array", "minItems": 1, "items": {
+            "type": "object", "additionalProperties": False, "required": ["question_id", "question_revision", "question_type", "stem", "options", "source_reference", "status"],
             "properties": {
-                "question_id": {"type": "string", "pattern": "[0-9a-f-]{36}"}, "question_revision": {"type": "integer", "minimum": 1}, "question_type": {"enum": ["single_choice", "multiple_choice", "true_false"]}, "stem": {"type": "string", "minLength": 1},
-                "options": {"type": "array", "items": {"type": "object", "required": ["label", "text"], "properties": {"label": {"enum": ["A", "B", "C", "D", "E"]}, "text": {"type": "string"}}}},
-                "source_reference": {"type": "object", "required": ["source_id", "locator"], "properties": {"source_id": {"type": "string"}, "locator": {"type": "string"}}},
+                "question_id": _ID, "question_revision": {"type": "integer", "minimum": 1}, "question_type": {"enum": ["single_choice", "multiple_choice", "true_false"]}, "stem": _TEXT, "status": _TEXT,
+                "options": {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": ["label", "text", "source_option_id"], "properties": {"label": _FILLED, "text": _TEXT, "source_option_id": _ID}}},
+                "source_reference": {"type": "object", "required": ["source_id", "locator"], "properties": {"source_id": _ID, "locator": _FILLED}},
+                "chapter": _TEXT, "metadata": {"type": "object"}, "answer": {}, "explanation": _TEXT,
             }}},
+        "sources": {"type": "array", "minItems": 1, "items": {
+            "type": "object", "additionalProperties": False, "required": ["source_id", "source_file", "source_type"],
+            "properties": {"source_id": _ID, "source_file": _FILLED, "source_type": {"enum": ["pdf", "docx", "image", "text", "markdown", "structured"]}}}},
     },
 }
 
 
+def bank_rules(bank) -> Iterator[tuple[str, str]]:
+    """(path, rule) of what the schema cannot say: ids and labels once each, known sources, relative files, labels by type."""
+    items = lambda x, name: [v for v in (x.get(name) if isinstance(x, dict) and isinstance(x.get(name), list) else []) if isinstance(v, dict)]
+
+    def repeated(rows: list[dict], field: str, path: str) -> Iterator[tuple[str, str]]:
+        values = [r.get(field) for r in rows if isinstance(r.get(field), str)]
+        return ((path, f"unique {field}") for v, n in Counter(values).items() if n > 1)
+
+    sources = items(bank, "sources")
+    yield from repeated(sources, "source_id", "$.sources")
+    for i, s in enumerate(sources):
+        if re.match(r"/|\\\\|[A-Za-z]:[\\/]", str(s.get("source_file"))):
+            yield f"$.sources[{i}].source_file", "relative"
+    known = {s.get("source_id") for s in sources if isinstance(s.get("source_id"), str)}
+    questions = items(bank, "questions")
+    yield from repeated(questions, "question_id", "$.questions")
+    for i, q in enumerate(questions):
+        path, reference, options = f"$.questions[{i}]", q.get("source_reference"), items(q, "options")
+        source = reference.get("source_id") if isinstance(reference, dict) else None
+        if isinstance(source, str) and source not in known:
+            yield f"{path}.source_reference.source_id", "known"
+        yield from repeated(options, "source_option_id", f"{path}.options")
+        if q.get("question_type") == "true_false":
+            if q.get("options"):
+                yield f"{path}.options", "empty"
+            continue
+        yield from repeated(options, "label", f"{path}.options")
+        yield from ((f"{path}.options[{j}].label", "choice label") for j, o in enumerate(options) if o.get("label") not in ("A", "B", "C", "D", "E"))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -40,7 +80,7 @@ def query(sql: str | None = None):
 
 @query()
 def bank_schema_violations(spark, sf):
-    return D.schema_violations(load(spark, sf, "raw_banks"), "file_no", "body", BANK_SCHEMA)
+    return D.schema_violations(load(spark, sf, "raw_banks"), "file_no", "body", BANK_SCHEMA, also=bank_rules)
 
 
 @query()
@@ -48,8 +88,8 @@ def bank_digests(spark, sf):
     return load(spark, sf, "raw_banks").select("file_no", D.json_digest(F.col("body")).alias("digest"))
 
 
-@query("""SELECT source_id, current_relative_path AS path, NOT regexp_matches(current_relative_path, '[\\\\:\\x00-\\x1f\\x7f]') AND len(list_filter(string_split(current_relative_path, '/'), lambda p: p IN ('', '.', '..') OR regexp_matches(p, '[. ]\\z')
-OR lower(string_split(p, '.')[1]) IN ('con', 'prn', 'aux', 'nul') OR regexp_full_match(lower(string_split(p, '.')[1]), '(com|lpt)[1-9]'))) = 0 AS safe,
+@query("""SELECT source_id, current_relative_path AS path, NOT regexp_matches(current_relative_path, '[\\\\:<>"|?*\\x{00}-\\x{1f}\\x{7f}-\\x{9f}]') AND len(list_filter(string_split(current_relative_path, '/'), lambda p: p IN ('', '.', '..') OR regexp_matches(p, '[. ]\\z')
+OR regexp_full_match(lower(rtrim(string_split(p, '.')[1])), 'con|prn|aux|nul|conin[$]|conout[$]|(com|lpt)[1-9¹²³]'))) = 0 AS safe,
 CASE WHEN microsecond(registered_at) % 1000000 = 0 THEN strftime(registered_at, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(registered_at, '%Y-%m-%dT%H:%M:%S.%fZ') END AS registered FROM (SELECT DISTINCT source_id, current_relative_path, registered_at FROM sources)""")
 def source_paths(spark, sf):
     s = load(spark, sf, "sources").select("source_id", "current_relative_path", "registered_at").distinct()

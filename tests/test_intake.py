@@ -81,9 +81,69 @@ def test_versions(spark, tmp_path):
     with pytest.raises(ValueError):
         versions.publish(a, base, expect=1)
     assert versions.current(spark, base).count() == 4
-    for f in (tmp_path / "t/v2").glob("*.parquet"):
+    for f in tmp_path.glob("t/v2-*/*.parquet"):
         f.unlink()
     assert versions.restore(spark, base) == 1 and versions.current(spark, base).count() == 3
     versions.log_event(spark, base, "restore", version=1)
     versions.log_event(spark, base, "note")
     assert spark.read.json(f"{base}/events").count() == 2
+
+
+def test_a_version_is_never_overwritten(spark, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}/t"
+    assert versions.publish(spark.range(3), base) == 1 and versions.publish(spark.range(4), base) == 2
+    (tmp_path / "t/current.json").unlink()  # as after a crash between two steps
+    assert versions.current(spark, base).count() == 4
+    assert versions.publish(spark.range(5), base) == 3
+    assert [spark.read.parquet(f"{base}/{versions._read(spark, f'{base}/v{n}.json')['folder']}").count() for n in (1, 2, 3)] == [3, 4, 5]
+    (tmp_path / "t/v4.json").write_text('{"versi')  # a record whose writer died
+    assert versions.publish(spark.range(6), base, expect=3) == 5 and versions.current(spark, base).count() == 6
+    assert versions.ancestry_faults(spark, base) == [(4, "unreadable")]
+    # a second writer publishes between the look and the write of the first
+    real, done = versions.fingerprint, []
+
+    def slow(df):
+        out = real(df)
+        if not done:
+            done.append(1)
+            assert versions.publish(spark.range(8), base, expect=5) == 6
+        return out
+
+    monkeypatch.setattr(versions, "fingerprint", slow)
+    monkeypatch.setattr(versions, "_numbers", lambda *a: [1, 2, 3, 4, 5])
+    with pytest.raises(ValueError):
+        versions.publish(spark.range(7), base, expect=5)
+    assert versions.current(spark, base).count() == 8
+
+
+def test_unsafe_characters(spark):
+    paths = {"a|b/c": False, "x\u0085y": False, "a<b": False, "a?": False, "CONIN$": False, "com¹.txt": False, "con .txt": False, "conin": True, "课程/一?": False, "课程/一": True}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", D.safe_relative_path(F.col("p")).alias("ok")).collect()
+    assert {x.p: x.ok for x in got} == paths
+
+
+def test_depth_of_canonical_documents(spark):
+    rows = [(n, "[" * n + "]" * n) for n in (64, 65, 66, 5000)] + [(1, '{"a": "\\ud800"}')]
+    got = {r.id: r.c for r in spark.createDataFrame(rows, "id long, body string").select("id", D.canonical_json(F.col("body")).alias("c")).collect()}
+    assert got[64] and got[65] and got[66] is None and got[5000] is None and got[1] is None
+
+
+def test_bank_rules():
+    from stemloom.plans.intake import BANK_SCHEMA, bank_rules
+
+    u = lambda n: f"3f2504e0-4f89-41d3-9a0c-{n:012d}"
+    option = lambda label, n: {"label": label, "text": "", "source_option_id": u(n)}
+    question = {"question_id": u(1), "question_revision": 1, "question_type": "single_choice", "stem": "", "options": [option("A", 2), option("B", 3)], "source_reference": {"source_id": u(9), "locator": "page:1"}, "status": "candidate"}
+    bank = {"schema_version": "1.0", "bank_id": u(0), "title": "t", "questions": [question], "sources": [{"source_id": u(9), "source_file": "a/b.md", "source_type": "text"}]}
+    check = lambda b: {(p, r) for p, r in [*D.schema_errors(b, BANK_SCHEMA), *bank_rules(b)]}
+    assert check(bank) == set()
+    with_question = lambda **x: {**bank, "questions": [{**question, **x}]}
+    assert check({k: v for k, v in bank.items() if k != "sources"}) == {("$.sources", "required"), ("$.questions[0].source_reference.source_id", "known")}
+    assert check({**bank, "bank_id": "f" * 36}) == {("$.bank_id", "pattern")} and check({**bank, "questions": []}) == {("$.questions", "minItems")}
+    assert check(with_question(question_id=u(1) + "\n")) == {("$.questions[0].question_id", "pattern")}
+    assert check(with_question(extra=1)) == {("$.questions[0].extra", "additionalProperties")}
+    assert check(with_question(options=[option("A", 2), option("A", 2), option("F", 4)])) == {("$.questions[0].options", "unique label"), ("$.questions[0].options", "unique source_option_id"), ("$.questions[0].options[2].label", "choice label")}
+    assert check(with_question(question_type="true_false")) == {("$.questions[0].options", "empty")}
+    assert check({**bank, "questions": [question, question]}) == {("$.questions", "unique question_id")}
+    assert check({**bank, "sources": [{"source_id": u(9), "source_file": "C:\\x", "source_type": "text"}]}) == {("$.sources[0].source_file", "relative")}
+    assert {r for _, r in D.schema_errors("xab", {"pattern": "ab"}, search=True)} == set()
