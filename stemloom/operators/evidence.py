@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemloom.functions.answers import JUDGMENTS, answer_labels
@@ -16,9 +16,10 @@ INLINE = rf"(?i)^[ \t]*(?:答案|正确答案|参考答案|Ans)[ \t]*[:：]?[ \t
 BRACKETED = rf"^[ \t]*【答案】[ \t]*{ANSWER}"
 
 
-def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.posexplode(logical_lines(F.col(text))).alias("p", "t"))
-    return rows.where(F.col("t").rlike(f"[^{WHITE}]")).select(F.col("k").alias(key), (F.col("p") + 1).alias("line"), F.col("t").alias("text"))
+def _lines(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), *more, F.posexplode(logical_lines(F.col(text))).alias("p", "t"))
+    names = [n for n in rows.columns if n not in ("k", "p", "t")]
+    return rows.where(F.col("t").rlike(f"[^{WHITE}]")).select(F.col("k").alias(key), *names, (F.col("p") + 1).alias("line"), F.col("t").alias("text"))
 
 
 def strict_answers(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -31,14 +32,18 @@ def strict_answers(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
     return good, d.where("bad > 0").select(key, "bad").distinct()
 
 
-def rich_answers(df: DataFrame, key: str, text: str) -> DataFrame:
+def rich_answers(df: DataFrame, key: str, text: str, number: str | None = None, unique: str | None = None, adjacent: str | None = None, unresolved: str | None = None) -> DataFrame:
     """key, line, entry, kind, question_number, raw_answer, labels, confidence of every non-blank line; first rule wins.
 
     Two or more numbered entries and nothing else but separators: ANSWER_KEY_BLOCK, a row each; one: NUMBERED_ANSWER.
-    Without an answer prefix: UNRESOLVED_ANSWER.  A judgment word: JUDGMENT_ANSWER; no labels: TEXT_ANSWER; else the
-    labels wait for a question (UNRESOLVED_ANSWER, low), since a line alone does not tell which one it belongs to.
+    Without an answer prefix: UNRESOLVED_ANSWER.  A judgment word: JUDGMENT_ANSWER; no labels: TEXT_ANSWER.  Labels
+    belong to the current question (INLINE_CURRENT, medium) where the context says so: `number` names the column of its
+    number, `unique` and `adjacent` those of two flags that must be true, `unresolved` that of one that must not be.  Else,
+    and where no context is given, they wait for a question (UNRESOLVED_ANSWER, low).
     """
-    d = _lines(df, key, text)
+    flag = lambda c, absent: F.coalesce(F.col(c), F.lit(absent)) if c else F.lit(absent)
+    here = F.when(flag(unique, False) & flag(adjacent, False) & ~flag(unresolved, False), F.col(number).cast("bigint")) if number else F.lit(None).cast("bigint")
+    d = _lines(df, key, text, here.alias("_here"))
     rest = F.regexp_replace("text", NUMBERED, "")
     numbers, answers = (F.regexp_extract_all("text", F.lit(NUMBERED), F.lit(i)) for i in (1, 3))
     entries = F.when(rest.rlike(r"^[ \t;；,，]*\z"), F.arrays_zip(numbers.alias("number"), answers.alias("answer"))).otherwise(F.array().cast("array<struct<number:string,answer:string>>"))
@@ -52,11 +57,13 @@ def rich_answers(df: DataFrame, key: str, text: str) -> DataFrame:
     d = d.withColumns({"raw_answer": raw, "labels": labels})
     kind = (
         F.when(n >= 2, "ANSWER_KEY_BLOCK").when(n == 1, "NUMBERED_ANSWER").when(F.col("inline").isNull(), "UNRESOLVED_ANSWER")
-        .when(F.col("raw_answer").isin(*JUDGMENTS), "JUDGMENT_ANSWER").when(F.size("labels") == 0, "TEXT_ANSWER").otherwise("UNRESOLVED_ANSWER")
+        .when(F.col("raw_answer").isin(*JUDGMENTS), "JUDGMENT_ANSWER").when(F.size("labels") == 0, "TEXT_ANSWER")
+        .when(F.col("_here").isNotNull(), "INLINE_CURRENT").otherwise("UNRESOLVED_ANSWER")
     )
     d = d.withColumn("kind", kind)
-    confidence = F.when(n > 0, "high").when(F.col("kind").isin("JUDGMENT_ANSWER", "TEXT_ANSWER"), "runtime_only").otherwise("low")
-    return d.select(key, "line", (F.col("e") + 1).alias("entry"), "kind", F.col("x.number").cast("bigint").alias("question_number"), "raw_answer", F.when(F.col("kind") == "JUDGMENT_ANSWER", F.array().cast("array<string>")).otherwise(F.col("labels")).alias("labels"), confidence.alias("confidence"))
+    found = F.coalesce(F.col("x.number").cast("bigint"), F.when(F.col("kind") == "INLINE_CURRENT", F.col("_here")))
+    confidence = F.when(n > 0, "high").when(F.col("kind") == "INLINE_CURRENT", "medium").when(F.col("kind").isin("JUDGMENT_ANSWER", "TEXT_ANSWER"), "runtime_only").otherwise("low")
+    return d.select(key, "line", (F.col("e") + 1).alias("entry"), "kind", found.alias("question_number"), "raw_answer", F.when(F.col("kind") == "JUDGMENT_ANSWER", F.array().cast("array<string>")).otherwise(F.col("labels")).alias("labels"), confidence.alias("confidence"))
 
 
 def associate(questions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +76,10 @@ def associate(questions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     count.  No vote, no recency.  Evidence is aggregated to one row a number before the join.
     """
     e = evidence.where(F.col("question_number").isNotNull()).groupBy("source_id", "question_number").agg(F.array_sort(F.collect_set("label")).alias("found"), F.count(F.lit(1)).alias("n_evidence"))
-    q = questions.withColumn("same", F.when(F.col("question_number").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("source_id", "question_number"))))
-    j = q.join(e, ["source_id", "question_number"], "left")
+    # numbers are counted, not windowed: a source's questions without a number are never brought together
+    numbered = questions.where(F.col("question_number").isNotNull()).groupBy("source_id", "question_number").agg(F.count(F.lit(1)).alias("same"))
+    per_number = numbered.join(e, ["source_id", "question_number"], "left")
+    j = questions.join(per_number, ["source_id", "question_number"], "left")
     unknown = F.size(F.array_except("found", "labels"))
     conclusion = (
         F.when(F.col("same").isNull() | (F.col("same") > 1), "low_confidence").when(F.col("found").isNull(), "missing")

@@ -52,11 +52,19 @@ def csv_rows(df: DataFrame, order: list[str]) -> DataFrame:
 
 def _allowed(df: DataFrame) -> Column:
     answer = answer_text(F.col("question_type"), F.col("answer_label"), F.col("answer_labels"), F.col("answer_bool"))
-    return type_name(F.col("question_type")).isNotNull() & ~F.coalesce(bad_options(F.col("options")), F.lit(False)) & answer.isNotNull()
+    return type_name(F.col("question_type")).isNotNull() & ~F.coalesce(bad_options(F.col("options")) | F.exists("options", lambda o: o["text"].isNull()), F.lit(False)) & answer.isNotNull()
 
 
 def rejected_rows(df: DataFrame) -> DataFrame:
-    return df.where(~_allowed(df)).select("question_id", "question_type")
+    """question_id, question_type and the first reason why a row has no place in the file: question_type, option_label,
+    duplicate_option_label, option_text or answer."""
+    labels = F.transform("options", lambda o: F.upper(strip(o["label"])))
+    answer = answer_text(F.col("question_type"), F.col("answer_label"), F.col("answer_labels"), F.col("answer_bool"))
+    reason = (
+        F.when(type_name(F.col("question_type")).isNull(), "question_type").when(F.exists(labels, lambda x: ~F.coalesce(x.isin(*LABELS), F.lit(False))), "option_label")
+        .when(F.size(F.array_distinct(labels)) != F.size(labels), "duplicate_option_label").when(F.exists("options", lambda o: o["text"].isNull()), "option_text").when(answer.isNull(), "answer")
+    )
+    return df.select("question_id", "question_type", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -29,8 +29,8 @@ def reconcile(previous: DataFrame, current: DataFrame, dataset: str = "dataset")
     )
     lost = j.where(F.col("new_hash").isNull()).select("source_id", "path", "history", "hash", "revision")
     fresh = j.where(F.col("source_id").isNull()).select("path", F.col("new_hash").alias("hash"))
-    lost_n = lost.where("hash IS NOT NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n_old"), F.min("source_id").alias("one"), F.sort_array(F.collect_list("path")).alias("old_paths"))
-    fresh_n = fresh.groupBy("hash").agg(F.count(F.lit(1)).alias("n_new"), F.min("path").alias("to_path"), F.sort_array(F.collect_list("path")).alias("new_paths"))
+    lost_n = lost.where("hash IS NOT NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n_old"))
+    fresh_n = fresh.groupBy("hash").agg(F.count(F.lit(1)).alias("n_new"), F.min("path").alias("to_path"))
     shared = lost_n.join(fresh_n, "hash")
     moves = shared.where("n_old = 1 AND n_new = 1").select("hash", "to_path")
     renamed = lost.join(moves, "hash").select(
@@ -41,10 +41,19 @@ def reconcile(previous: DataFrame, current: DataFrame, dataset: str = "dataset")
     new = fresh.join(moves, "hash", "left_anti").select(
         stable_id(F.lit(dataset), F.col("path")).alias("source_id"), "path", F.array("path").alias("history"), "hash", F.lit(1).alias("revision"), F.lit("present").alias("presence"), F.lit("new").alias("change")
     )
-    issues = shared.where("n_old > 1 OR n_new > 1").select(F.lit("QB-IDENTITY-AMBIGUOUS").alias("code"), "hash", "n_old", "n_new", "old_paths", "new_paths")
+    issues = shared.where("n_old > 1 OR n_new > 1").select(F.lit("QB-IDENTITY-AMBIGUOUS").alias("code"), "hash", "n_old", "n_new")
     return kept.unionByName(renamed).unionByName(missing).unionByName(new), issues
 
 
+def ambiguous_paths(previous: DataFrame, current: DataFrame, issues: DataFrame) -> DataFrame:
+    """The paths of each ambiguous hash, one row each (hash, side 'old' or 'new', path): no array holds them all."""
+    hashes = issues.select("hash")
+    now = current.where(F.col("hash").isNotNull()).select("path", "hash").distinct()
+    old = previous.join(now.select("path"), "path", "left_anti").join(hashes, "hash").select("hash", F.lit("old").alias("side"), "path")
+    new = now.join(previous.select("path"), "path", "left_anti").join(hashes, "hash").select("hash", F.lit("new").alias("side"), "path")
+    return old.unionByName(new)
+
+
 def duplicate_groups(df: DataFrame, source: str, fingerprint: str) -> DataFrame:
     """duplicate_group: 'content-sha256:<fingerprint>' where it occurs more than once in the same source, else null.
 

@@ -108,3 +108,19 @@ def strict_parse(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     report = blocks.groupBy(key).agg(F.count_if(real & ~bad).alias("accepted"), F.count_if(real & bad).alias("rejected"), F.count_if(real).alias("question_like"), (F.count_if(real & bad) + F.sum("outside") + F.sum("fences")).alias("n_findings"))
     report = report.withColumn("publishable", (F.col("accepted") > 0) & (F.col("n_findings") == 0))
     return questions, findings, report
+
+
+# What an issue of each code asks for, and the issue of a text without anything supported.
+ISSUE_LEVELS = {STRUCTURE: ("review_required", ["correct source", "retain", "exclude"]), UNSUPPORTED: ("blocking", ["retain", "mark unsupported"])}
+NOTHING_FOUND = "No supported single-choice questions were found."
+
+
+def parse_issues(findings: DataFrame, report: DataFrame, key: str) -> DataFrame:
+    """Open issues of a parse: every finding, and one at line 1 for a text with neither question nor finding.
+
+    key, code, blocking_level, status, locator, summary, allowed_user_actions.
+    """
+    none = report.where("accepted = 0 AND n_findings = 0").select(key, F.lit(1).alias("line"), F.lit(STRUCTURE).alias("code"), F.lit(NOTHING_FOUND).alias("summary"))
+    rows = findings.select(key, "line", "code", "summary").unionByName(none)
+    pick = lambda i: F.coalesce(*[F.when(F.col("code") == c, F.lit(v[i]) if i == 0 else F.array(*map(F.lit, v[i]))) for c, v in ISSUE_LEVELS.items()])
+    return rows.select(key, "code", pick(0).alias("blocking_level"), F.lit("open").alias("status"), F.concat(F.lit("line:"), F.col("line")).alias("locator"), "summary", pick(1).alias("allowed_user_actions"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stemloom.functions.documents import safe_relative_path
+
 # Suffixes, schemas and column names of the formats.
 TEXT_SUFFIXES = r"\.(txt|md)\z"
 PARSE_SUFFIXES = r"\.(txt|md|markdown)\z"
@@ -25,17 +27,35 @@ def _relative(root: str) -> Column:
     return F.substring(path, F.lit(len(base) + 2), F.length(path))
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
+def discover(spark: SparkSession, root: str, workspace: str | None = None) -> DataFrame:
     """relative_path, size_bytes, content_hash, support_status of all files below a folder.
 
     Suffixes .txt and .md (any case) are 'builtin_text', others 'unsupported'.  The hash is that of the bytes; a file is
-    read by one task, so its size is bounded by the task's memory.
+    read by one task, so its size is bounded by the task's memory.  Files below `workspace`, a folder relative to the
+    root, are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = _relative(root)
+    if workspace:
+        files = files.where(~is_within(rel, workspace))
     return files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), F.when(F.lower(rel).rlike(TEXT_SUFFIXES), "builtin_text").otherwise("unsupported").alias("support_status"))
 
 
+def is_within(path: Column, folder: str) -> Column:
+    """Whether a relative path is a folder or lies below it."""
+    inner = folder.strip("/")
+    return (path == inner) | path.startswith(inner + "/")
+
+
+def discovery_issues(found: DataFrame) -> DataFrame:
+    """(code, relative_path, summary) of files that cannot be taken in: of another format, or without a hash."""
+    unread = F.col("content_hash").isNull()
+    return found.where(unread | (F.col("support_status") == "unsupported")).select(
+        F.when(unread, "QB-SOURCE-READ-FAILED").otherwise("QB-SOURCE-UNSUPPORTED").alias("code"), "relative_path",
+        F.when(unread, "authorized source could not be read").otherwise("source format is not supported in Milestone 1").alias("summary"),
+    )
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, content_hash, text of files that can be parsed; text is null where the bytes are not UTF-8.
 
@@ -47,10 +67,20 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def registered_texts(registry: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(current, stale): texts whose bytes are those the registry knows, and present sources whose file changed or went."""
-    r = registry.where("presence = 'present'").select("source_id", F.col("path").alias("relative_path"), "hash")
-    j = r.join(texts, "relative_path", "left")
-    return j.where("hash = content_hash AND text IS NOT NULL").select("source_id", "relative_path", "text"), j.where("content_hash IS NULL OR hash <> content_hash").select("source_id", "relative_path")
+    """(current, refused): texts of sources whose bytes are those the registry knows, and the other sources with a reason.
+
+    reason, the first that holds: 'not_present' (no present row), 'not_unique' (several), 'unsafe_path', 'suffix',
+    'missing' (no such file), 'stale' (other bytes), 'encoding' (not UTF-8).
+    """
+    r = registry.groupBy("source_id").agg(F.count_if(F.col("presence") == "present").alias("n"), F.max(F.when(F.col("presence") == "present", F.struct(F.col("path").alias("relative_path"), "hash"))).alias("x"))
+    j = r.select("source_id", "n", "x.*").join(texts, "relative_path", "left")
+    path = F.col("relative_path")
+    reason = (
+        F.when(F.col("n") == 0, "not_present").when(F.col("n") > 1, "not_unique").when(~safe_relative_path(path), "unsafe_path").when(~F.lower(path).rlike(PARSE_SUFFIXES), "suffix")
+        .when(F.col("content_hash").isNull(), "missing").when(~F.col("hash").eqNullSafe(F.col("content_hash")), "stale").when(F.col("text").isNull(), "encoding")
+    )
+    j = j.withColumn("reason", reason)
+    return j.where("reason IS NULL").select("source_id", "relative_path", "text"), j.where("reason IS NOT NULL").select("source_id", "relative_path", "reason")
 
 
 def read_extracted(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemloom.operators.registry import reconcile
+from stemloom.session import materialize
+from stemloom.sources import versions
 
 
 def stream_table(spark: SparkSession, folder: str, like: DataFrame, per_trigger: int = 16) -> DataFrame:
@@ -24,15 +26,28 @@ def arrivals(stream: DataFrame, time: str, window: str = "1 day", delay: str = "
 
 
 def follow_registry(stream: DataFrame, registry_path: str, checkpoint: str, dataset: str = "dataset"):
-    """Start a query that reconciles each batch of (path, hash) rows, a full scan, with the registry at registry_path.
+    """Start a query that reconciles whole scans with the registry at registry_path.
 
-    Every batch writes a new version folder named by its number; a repeated batch overwrites its own version only.
+    stream: scan_id, path, hash, n_files; a scan may come in any number of files and batches, so rows wait in a table until
+    the scan has as many as its n_files says (null hashes count).  Whole scans are taken in order of scan_id, each published as one
+    version (stemloom.sources.versions), with its scan_id in the rows, so a repeated
+    batch changes nothing; a scan that becomes whole after a later one was taken is left out.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{registry_path}/v{number - 1}") if number else spark.createDataFrame([], "source_id string, path string, history array<string>, hash string, revision int")
-        new, _ = reconcile(old, batch.select("path", "hash"), dataset)
-        new.write.mode("overwrite").parquet(f"{registry_path}/v{number}")
+        waiting = f"{registry_path}/waiting"
+        batch.select("scan_id", "path", "hash", "n_files", F.lit(number).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(waiting)
+        rows = spark.read.parquet(waiting).select("scan_id", "path", "hash", "n_files").distinct()
+        known = versions.current(spark, f"{registry_path}/registry")
+        done = known.agg(F.max("scan_id")).first()[0] if known is not None else None
+        whole = rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_files").alias("of")).where("n >= of")
+        if done is not None:
+            whole = whole.where(F.col("scan_id") > done)
+        for r in whole.select("scan_id").orderBy("scan_id").toLocalIterator():  # scans that became whole, a few a batch
+            old = versions.current(spark, f"{registry_path}/registry")
+            old = old.drop("scan_id", "presence", "change") if old is not None else spark.createDataFrame([], "source_id string, path string, history array<string>, hash string, revision int")
+            new, _ = reconcile(old, rows.where(F.col("scan_id") == r["scan_id"]).select("path", "hash"), dataset)
+            versions.publish(materialize(new.withColumn("scan_id", F.lit(r["scan_id"]))), f"{registry_path}/registry")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ import pytest
 from stemloom.functions import text as T
 from stemloom.functions.answers import multiple_choice_list
 from stemloom.operators import evidence, export, integrity, registry
-from stemloom.sources import files, sinks
+from stemloom.sources import files, sinks, versions
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,8 @@ def test_registry(spark):
     got = {(r.path, r.change): r for r in rows.collect()}
     assert {k for k in got} == {("a", "unchanged"), ("b", "changed"), ("c2", "renamed"), ("d", "missing"), ("e", "missing"), ("f", "missing"), ("e2", "new"), ("n", "new"), ("g", "changed")}
     assert got["b", "changed"].revision == 2 and got["c2", "renamed"].revision == 2 and got["c2", "renamed"].history == ["c", "c2"]
-    assert [(r.hash, r.n_old, r.n_new, r.old_paths, r.new_paths) for r in issues.collect()] == [("h5", 2, 1, ["e", "f"], ["e2"])]
+    assert [tuple(r) for r in issues.collect()] == [("QB-IDENTITY-AMBIGUOUS", "h5", 2, 1)]
+    assert {tuple(r) for r in registry.ambiguous_paths(prev, cur, issues).collect()} == {("h5", "old", "e"), ("h5", "old", "f"), ("h5", "new", "e2")}
     assert {r.change for r in registry.reconcile(prev.limit(0), cur)[0].collect()} == {"new"}
     assert {r.change for r in registry.reconcile(prev, cur.limit(0))[0].collect()} == {"missing"}
 
@@ -71,6 +72,9 @@ def test_answer_lines(spark):
     assert {(r.id, r.bad) for r in bad.collect()} == {(2, 1), (4, 6)}
     rich = [(r.line, r.entry, r.kind, r.question_number, "".join(r.labels), r.confidence) for r in evidence.rich_answers(df.where("id = 4"), "id", "text").orderBy("line", "entry").collect()]
     assert rich == [(1, 1, "ANSWER_KEY_BLOCK", 1, "A", "high"), (1, 2, "ANSWER_KEY_BLOCK", 2, "B", "high"), (1, 3, "ANSWER_KEY_BLOCK", 3, "C", "high"), (2, 1, "UNRESOLVED_ANSWER", None, "ACD", "low"), (3, 1, "JUDGMENT_ANSWER", None, "", "runtime_only"), (4, 1, "TEXT_ANSWER", None, "", "runtime_only"), (5, 1, "NUMBERED_ANSWER", 4, "B", "high"), (6, 1, "UNRESOLVED_ANSWER", None, "", "low")]
+    near = spark.createDataFrame([(i, "答案：A、C", n, u, a, x) for i, (n, u, a, x) in enumerate([(7, True, True, False), (None, True, True, False), (7, False, True, False), (7, True, None, False), (7, True, True, True), (7, True, True, None)])], "id long, text string, n int, u boolean, a boolean, x boolean")
+    got = evidence.rich_answers(near, "id", "text", "n", "u", "a", "x").orderBy("id").collect()
+    assert [(r.kind, r.question_number, r.confidence) for r in got] == [("INLINE_CURRENT", 7, "medium"), *[("UNRESOLVED_ANSWER", None, "low")] * 4, ("INLINE_CURRENT", 7, "medium")] and got[0].labels == ["A", "C"]
 
 
 def questions(spark):
@@ -81,7 +85,7 @@ def questions(spark):
 
 def test_csv_round_trip(spark, tmp_path):
     rows = export.csv_rows(questions(spark), ["question_id"])
-    assert {r.question_id for r in export.rejected_rows(questions(spark)).collect()} == {"q4", "q5", "q7"}
+    assert {(r.question_id, r.reason) for r in export.rejected_rows(questions(spark)).collect()} == {("q4", "duplicate_option_label"), ("q5", "question_type"), ("q7", "answer")}
     out = rows.orderBy("sequence_number").drop("question_id").select(*files.CSV_COLUMNS)
     got = [tuple(r) for r in out.collect()]
     assert [g[0] for g in got] == [1, 2, 3, 4] and [g[9] for g in got] == ["B", "AC", "错误", ""]
@@ -131,7 +135,11 @@ def test_files(spark, tmp_path):
     assert t == {"alpha.txt": "题 one", "nested/gamma.TXT": "x", "b.markdown": None}
     reg = spark.createDataFrame([("s1", "alpha.txt", d["alpha.txt"].content_hash, "present"), ("s2", "nested/gamma.TXT", "old", "present"), ("s3", "gone", "h", "present"), ("s4", "c.pdf", "h", "missing")], "source_id string, path string, hash string, presence string")
     current, stale = files.registered_texts(reg, files.read_texts(spark, str(root)))
-    assert [r.source_id for r in current.collect()] == ["s1"] and {r.source_id for r in stale.collect()} == {"s2", "s3"}
+    assert [r.source_id for r in current.collect()] == ["s1"] and {(r.source_id, r.reason) for r in stale.collect()} == {("s2", "stale"), ("s3", "suffix"), ("s4", "not_present")}
+    other = spark.createDataFrame([("s1", "b.markdown", d["b.markdown"].content_hash, "present"), ("s2", "../a.md", "h", "present"), ("s3", "gone.md", "h", "present"), ("s5", "alpha.txt", "h", "present"), ("s5", "b.md", "h", "present")], "source_id string, path string, hash string, presence string")
+    assert {(r.source_id, r.reason) for r in files.registered_texts(other, files.read_texts(spark, str(root)))[1].collect()} == {("s1", "encoding"), ("s2", "unsafe_path"), ("s3", "missing"), ("s5", "not_unique")}
+    assert {(r.code, r.relative_path) for r in files.discovery_issues(files.discover(spark, str(root), "nested/")).collect()} == {("QB-SOURCE-UNSUPPORTED", "b.markdown"), ("QB-SOURCE-UNSUPPORTED", "c.pdf")}
+    assert files.discover(spark, str(root), "nested").where("relative_path like 'nested%'").count() == 0 and files.discover(spark, str(root), "nest").count() == 4
     (tmp_path / "batch.json").write_text(json.dumps({"questions": [{"question_type": "single_choice", "stem": "s", "options": [{"label": "A", "text": "x"}], "answer": ["A"], "source_reference": {"source_id": "s", "locator": "page:1"}}, {"stem": "t", "answer": None}]}))
     rows = files.read_extracted(spark, str(tmp_path / "batch.json")).orderBy("position").collect()
     assert [(r.position, r.stem, r.answer) for r in rows] == [(1, "s", '["A"]'), (2, "t", None)]
@@ -167,10 +175,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("arr").collect()) == [1, 2]
-    scan = spark.createDataFrame([("p", "h")], "path string, hash string")
-    scan.write.parquet(str(tmp_path / "scan"))
-    intake.follow_registry(intake.stream_table(spark, str(tmp_path / "scan"), scan), str(tmp_path / "reg"), str(tmp_path / "c3")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "reg/v0")).collect()[0].change == "new"
+    scan = spark.createDataFrame([(1, "p", "h", 2), (1, "q", "g", 2), (2, "p", "h2", 2), (3, "r", "g", 1)], "scan_id int, path string, hash string, n_files int")
+    scan.repartition(4, "path", "scan_id").write.parquet(str(tmp_path / "scan"))
+    follow = lambda: intake.follow_registry(intake.stream_table(spark, str(tmp_path / "scan"), scan, per_trigger=1), f"file://{tmp_path}/reg", str(tmp_path / "c3")).awaitTermination(120)
+    follow()
+    # scan 2 is not whole: one of its two files is still to come; scans are taken in order as they become whole
+    got = {(r.path, r.change, r.revision) for r in versions.current(spark, f"file://{tmp_path}/reg/registry").collect()}
+    assert got == {("r", "renamed", 1), ("p", "missing", 1)}
 
 
 def test_every_response_is_graded(spark, tmp_path):

@@ -1,112 +1,86 @@
-"""The windowed grammar against a line-by-line fold written for this test."""
+"""The grammar on texts put together from blocks whose result is known by construction."""
 
 import random
-import re
 
 import pytest
 
-from stemloom.operators.strict import STRUCTURE, SUMMARIES, UNSUPPORTED, strict_parse
-
-EDGE = r"\S(?:.*\S)?"
-HEADER = re.compile(rf"[ \t]*([1-9][0-9]*)[.)][ \t]+\[single_choice\][ \t]+({EDGE})[ \t]*")
-OPTION = re.compile(rf"[ \t]*[-*+][ \t]+([A-Z])[.)][ \t]+({EDGE})[ \t]*")
-LOWER = re.compile(rf"[ \t]*[-*+][ \t]+[a-z][.)][ \t]+{EDGE}[ \t]*")
-LIKE = re.compile(r"[ \t]*[-*+][ \t]+[A-Za-z][.)].*")
-QLIKE = re.compile(r"[ \t]*[0-9]+[.)](?=[ \t]|\[|$)[ \t]*(.*)")
-FENCE = re.compile(r"[ \t]*(`{3,}|~{3,}).*")
-
-
-def fold(text):
-    """One pass over the lines with the open block in hand."""
-    questions, findings, seen, rejected = [], [], 0, 0
-    fence, block, preamble = None, None, True
-
-    def shut():
-        nonlocal rejected, block
-        if block:
-            ok = block["bad"] is None and len(block["options"]) >= 2
-            if ok:
-                questions.append((block["number"], block["stem"], block["line"], tuple(block["options"])))
-            else:
-                rejected += 1
-                findings.append(block["bad"] or (block["line"], STRUCTURE, SUMMARIES["options"]))
-        block = None
-
-    for n, line in enumerate(re.split("\r\n|\r|\n", text), 1):
-        if fence:
-            bare = line.strip(" \t")
-            if len(bare) >= len(fence[0]) and set(bare) == {fence[0][0]}:
-                fence = None
-            continue
-        if m := FENCE.fullmatch(line):
-            fence = (m[1], n)
-            bad = "unknown"
-        elif m := HEADER.fullmatch(line):
-            shut()
-            seen, preamble = seen + 1, False
-            block = {"number": m[1], "stem": m[2], "line": n, "options": [], "bad": None}
-            continue
-        elif m := QLIKE.fullmatch(line):
-            shut()
-            seen, rejected, preamble = seen + 1, rejected + 1, False
-            other = re.match(r"\[[^\]\r\n]*\]", m[1]) and not m[1].startswith("[single_choice]")
-            findings.append((n, UNSUPPORTED, SUMMARIES["type"]) if other else (n, STRUCTURE, SUMMARIES["header"]))
-            continue
-        elif m := OPTION.fullmatch(line):
-            if block and not block["bad"] and m[1] == chr(65 + len(block["options"])):
-                block["options"].append((m[1], m[2], n))
-                continue
-            bad = "options" if block else "outside"
-        elif LOWER.fullmatch(line):
-            bad = "options" if block else "outside"
-        elif LIKE.fullmatch(line):
-            bad = "malformed" if block else "outside"
-        elif line.strip(" \t"):
-            bad = "unknown"
-        else:
-            continue
-        if block:
-            block["bad"] = block["bad"] or (block["line"] if bad == "options" else n, STRUCTURE, SUMMARIES[bad])
-        elif preamble and bad == "outside":
-            findings.append((n, STRUCTURE, SUMMARIES[bad]))
-    shut()
-    if fence:
-        findings.append((fence[1], STRUCTURE, SUMMARIES["fence"]))
-    return questions, sorted(findings), seen, rejected
-
-
-def texts():
+from stemloom.operators.strict import NOTHING_FOUND, STRUCTURE, SUMMARIES, UNSUPPORTED, parse_issues, strict_parse
+
+# (lines, question (number, stem, options) or None, finding (offset, code, summary) or None); offsets count from the block's first line
+S = SUMMARIES
+BLOCKS = [
+    (["1. [single_choice] Q one", "- A. a", "- B. b"], ("1", "Q one", "AB"), None),
+    (["2) [single_choice]  stem\u3000x ", "", "\t- A) a", "  ", "* B. b", "+ C) c"], ("2", "stem\u3000x", "ABC"), None),
+    (["17. [single_choice] many", *[f"- {chr(65 + i)}. {i}" for i in range(26)]], ("17", "many", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), None),
+    (["3. [multiple_choice] m", "- A. a", "- B. b"], None, (0, UNSUPPORTED, S["type"])),
+    (["4. plain", "prose"], None, (0, STRUCTURE, S["header"])),
+    (["007) [single_choice] z"], None, (0, STRUCTURE, S["header"])),
+    (["9."], None, (0, STRUCTURE, S["header"])),
+    (["5. [single_choice] few", "- A. a"], None, (0, STRUCTURE, S["options"])),
+    (["5. [single_choice] none"], None, (0, STRUCTURE, S["options"])),
+    (["6. [single_choice] order", "- A. a", "- C. c"], None, (0, STRUCTURE, S["options"])),
+    (["6. [single_choice] twice", "- A. a", "- B. b", "- A. a"], None, (0, STRUCTURE, S["options"])),
+    (["6. [single_choice] low", "- a. a", "- B. b"], None, (0, STRUCTURE, S["options"])),
+    (["7. [single_choice] bad", "- A. a", "- B.x", "prose"], None, (2, STRUCTURE, S["malformed"])),
+    (["8. [single_choice] prose", "- A. a", "- B. b", "", "prose", "- D.x"], None, (4, STRUCTURE, S["unknown"])),
+    (["8. [single_choice] fenced", "- A. a", "```", "1. [single_choice] hidden", "- A. a", "````", "- B. b"], None, (2, STRUCTURE, S["unknown"])),
+    (["4. plain", "~~~~", "1. [single_choice] hidden", "~~~", "```", "- A. a", "~~~~~"], None, (0, STRUCTURE, S["header"])),
+]
+BEFORE = [
+    ([], []), (["prose", "", "1.5 mg"], []), (["```", "1. [single_choice] hidden", "- A. a", "- B. b", "``` "], []),
+    (["- A. a", "prose", "- b. b", "* C.c"], [(0, STRUCTURE, S["outside"]), (2, STRUCTURE, S["outside"]), (3, STRUCTURE, S["outside"])]),
+]
+
+
+def documents(n):
     random.seed(11)
-    parts = ["1. [single_choice] Q one", "2) [single_choice]  stem　x ", "3. [multiple_choice] m", "4. plain", "1.5 mg", "007) [single_choice] z", "- A. a", "- B. b", "* C) c　", "+ B. b", "- a. low", "- D.x", "", "  ", "prose", "```", "~~~", "````", "~~~ x", "``` ", "9.", "- A.  ", "1. [single_choice] tail ", "- C. c"]
-    good = ["1. [single_choice] Q", "- A. a", "- B. b", "- C. c", ""]
-    for i in range(500):
-        yield i, random.choice(["\n", "\r\n", "\r"]).join(good * random.randint(0, 2) + [random.choice(parts) for _ in range(random.randint(0, 14))])
-    yield 900, ""
-    yield 901, None
-    yield 902, "1. [single_choice] all\n" + "\n".join(f"- {chr(65 + i)}. {i}" for i in range(26))
-    yield 903, "1. [single_choice] all\n" + "\n".join(f"- {chr(65 + i)}. {i}" for i in range(26)) + "\n- A. again"
-    yield 904, "x" * 200_000
-
-
-def test_matches_the_fold(spark):
-    rows = list(texts())
-    df = spark.createDataFrame(rows, "id long, text string").selectExpr("*", "1 AS line", "2 AS block", "3 AS k")
+    for i in range(n):
+        lines, findings = (list(x) for x in random.choice(BEFORE))
+        findings = [(line + 1, c, t) for line, c, t in findings]
+        questions, blocks = [], random.choices(BLOCKS, k=random.randint(0, 6))
+        for body, question, finding in blocks:
+            at = len(lines) + 1
+            lines += body
+            if question:
+                questions.append((*question, at))
+            if finding:
+                findings.append((at + finding[0], *finding[1:]))
+        rejected = len(blocks) - len(questions)
+        if blocks and not blocks[-1][1] and random.random() < 0.3:  # a fence left open after a block that is rejected anyway
+            plain = ["4. plain"], (len(lines) + 1, STRUCTURE, S["header"])
+            lines += [*plain[0], "```x", "1. [single_choice] hidden", "~~~"]
+            findings += [plain[1], (plain[1][0] + 1, STRUCTURE, S["fence"])]
+            rejected += 1
+        yield i, random.choice(["\n", "\r\n", "\r"]).join(lines), questions, sorted(findings), rejected
+
+
+def test_known_documents(spark):
+    made = list(documents(400))
+    odd = [(900, ""), (901, None), (904, "x" * 200_000)]
+    df = spark.createDataFrame([(i, t) for i, t, *_ in made] + odd, "id long, text string").selectExpr("*", "1 AS line", "2 AS block", "3 AS k")
     questions, findings, report = strict_parse(df, "id", "text")
     q, f = {}, {}
     for r in questions.orderBy("header_line").collect():
-        q.setdefault(r.id, []).append((r.display_number, r.stem, r.header_line, tuple((o.label, o.text, o.line) for o in r.options)))
+        q.setdefault(r.id, []).append((r.display_number, r.stem, "".join(o.label for o in r.options), r.header_line))
     for r in findings.collect():
         f.setdefault(r.id, []).append((r.line, r.code, r.summary))
     rep = {r.id: r for r in report.collect()}
-    for i, t in rows:
-        if t is None:
-            assert i not in rep
-            continue
-        want_q, want_f, seen, rejected = fold(t)
-        assert q.get(i, []) == want_q, t
-        assert sorted(f.get(i, [])) == want_f, t
-        assert (rep[i].accepted, rep[i].rejected, rep[i].question_like, rep[i].publishable) == (len(want_q), rejected, seen, bool(want_q) and not want_f)
-    assert q[902] and 903 not in q
+    for i, text, want_q, want_f, rejected in made:
+        assert q.get(i, []) == want_q and sorted(f.get(i, [])) == want_f, text
+        assert (rep[i].accepted, rep[i].rejected, rep[i].question_like, rep[i].publishable) == (len(want_q), rejected, len(want_q) + rejected, bool(want_q) and not want_f), text
+    assert 901 not in rep and not rep[900].question_like and not rep[904].n_findings
+    issues = parse_issues(findings, report, "id").collect()
+    by = {}
+    for r in issues:
+        by.setdefault(r.id, []).append(r)
+    assert [(r.locator, r.code, r.summary, r.blocking_level) for r in by[900]] == [("line:1", STRUCTURE, NOTHING_FOUND, "review_required")]
+    assert all((r.blocking_level == "blocking") == (r.code == UNSUPPORTED) and r.allowed_user_actions[-1] == ("mark unsupported" if r.code == UNSUPPORTED else "exclude") for r in issues)
+    assert all(len(by.get(i, [])) == (len(want_f) or (0 if want_q else 1)) for i, _, want_q, want_f, _ in made)
+
+
+def test_option_texts(spark):
+    df = spark.createDataFrame([(1, "1. [single_choice] a\n- A.  x y \n\n* B) z")], "id long, text string")
+    assert [(o.label, o.text, o.line) for o in strict_parse(df, "id", "text")[0].first().options] == [("A", "x y", 2), ("B", "z", 4)]
 
 
 def test_empty_table(spark):
