@@ -125,14 +125,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, n_
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
 
 
-def join_hot(rows: DataFrame, other: DataFrame, on: str, hot: DataFrame, salts: int = 64) -> DataFrame:
-    """Inner join in which the keys of `hot` (column `on`, a bounded number of rows) hold many of `rows`.
+def join_hot(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame, salts: int = 64) -> DataFrame:
+    """Inner join in which the keys of `hot` (columns `on`, a bounded number of rows) hold many of `rows`.
 
     Those rows spread over `salts` by a hash of the whole row; the other side's rows of hot keys are repeated for each salt.
     """
-    marked = F.broadcast(hot.select(on).withColumn("_hot", F.lit(True)))
+    marked = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
     left = rows.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = other.join(marked, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
