@@ -1,10 +1,14 @@
-"""Near-duplicate records: candidates by the rarest shingles or by weighted samples, verified exactly.
+"""Near-duplicate records: candidates by improved consistent weighted samples over TF-IDF shingles, banded, verified by
+weighted Jaccard similarity.
 
 Records are sets of character shingles.  Records with one and the same set form a class; all work runs on classes, and
-members are joined back last.  Plain Jaccard similarity takes its candidates from a prefix filter over all classes, which
-no pair over the threshold escapes.  Similarity weighted by TF-IDF takes them from bands x rows samples of improved
-consistent weighted sampling (the chance that two classes agree in one equals their weighted Jaccard similarity): classes
-that agree in all samples of a band are candidates.  Candidates are verified by exact similarity of the shingle sets.
+members are joined back last.  The chance that two classes agree in one sample equals their weighted Jaccard similarity;
+classes that agree in all samples of a band are candidates, which weighted Jaccard similarity verifies.  Where plain
+similarity is asked for, an exact check of it follows.
+
+TF-IDF weights are scaled to lie between 1 and RATIO.  So the weighted similarity of two sets of plain similarity s is at least
+s / (s + (1 - s) * RATIO), whatever the shingles' frequencies: a passage that very many records share cannot push a pair below that.
+This bound is the threshold of the weighted check, which so loses no pair, and it bounds what the bands can miss.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ from pyspark.sql import functions as F
 
 from stemloom.llm.codepoints import slices, to_arrow, to_codepoints
 from stemloom.llm.plain import flat_texts, letters_only
-from stemloom.session import materialize
+from stemloom.session import HOT_ROWS, hot_limit, join_hot, materialize
 
 GAP = 0x0A  # between the texts of a record; no letter or digit
 SKETCH_BITS = 21
-#: Classes that a batch may have in one bucket before their rows spread over salts.
+#: Greatest weight of a shingle; the least is 1.
+RATIO = 1.25
+#: Classes of a bucket up to which all its pairs are formed; beyond it, pairs must share a rare shingle too.
 BUCKET_LIMIT = 512
-SALTS = 64
-#: Classes that one sampling task takes.
+#: Classes that one sampling task takes at a time, and those of them in one bucket from which it counts as large at once.
 TASK_CLASSES = 10_000
+CROWDED = 64
+SALTS = 64
 #: 64-bit words of a class's bitmap.
 WORDS = 4
 BITMAP = [f"w{i}" for i in range(WORDS)]
@@ -137,8 +144,16 @@ def slot(code: np.ndarray) -> np.ndarray:
     return (mix(code) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def idf(counts: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(n / np.maximum(counts, 1)).astype(np.float32)
+def idf(counts: np.ndarray, n: int, ratio: float = RATIO) -> np.ndarray:
+    """Weights by inverse document frequency, scaled from 1 (in all n classes) to `ratio` (in one)."""
+    log = np.log1p(n / np.clip(counts, 1, max(n, 1)))
+    span = np.log1p(n) - np.log(2.0)
+    return (1 + (ratio - 1) * (log - np.log(2.0)) / span if span > 0 else np.ones(len(counts))).astype(np.float32)
+
+
+def least_weighted(threshold: float, ratio: float = RATIO) -> float:
+    """The least weighted similarity that sets of plain similarity `threshold` can have: shared shingles of weight 1, the others of weight `ratio`."""
+    return threshold / (threshold + (1 - threshold) * ratio)
 
 
 def weighted_samples(code: np.ndarray, weight: np.ndarray, first: int, many: int, cells: int = 1 << 15) -> np.ndarray:
@@ -209,122 +224,142 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return both / np.maximum(np.bincount(own, weights=w, minlength=n) - both, 1e-12)
 
 
-def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> DataFrame:
-    """Pairs of classes (a1, a2, b1, b2) whose similarity is at least `threshold`.
+def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 48, rows: int = 3, weighted: bool = False) -> DataFrame:
+    """Pairs of classes (a1, a2, b1, b2) whose plain similarity, or with `weighted` their weighted one, is at least `threshold`.
 
-    Plain similarity loses no pair; `bands` and `rows` are not used for it.  With `weighted`, similarity is that of the
-    TF-IDF weights, and a pair of similarity v is missed with probability (1 - v^rows)^bands.
+    A pair of weighted similarity v is missed with probability (1 - v^rows)^bands.  v is at least `threshold` with
+    `weighted`, else least_weighted(threshold): 0.545 at 0.6, so 2 of 10,000 pairs at the worst and one of 100,000 where
+    weights do not matter.
     """
     spark = classes.sparkSession
     counts = shingle_counts(classes)
     n_classes = classes.count()
-    n = max(spark.sparkContext.defaultParallelism, -(-n_classes // TASK_CLASSES))
-    weights = idf(counts, n_classes) if weighted else None
-    shared = spark.sparkContext.broadcast(weights if weighted else counts.astype(np.int32))
-    pairs = banded_pairs(classes, shared, n, bands, rows) if weighted else prefix_pairs(classes, shared, n, threshold)
+    shared = spark.sparkContext.broadcast((idf(counts, n_classes), counts.astype(np.int32)))
+    lowest = threshold if weighted else least_weighted(threshold)
+    # plain similarity below which no pair has a weighted one of `lowest`, by the same bound
+    plain = threshold if not weighted else threshold / (threshold + (1 - threshold) * RATIO)
+    pairs = candidate_pairs(classes, shared, max(spark.sparkContext.defaultParallelism, -(-n_classes // TASK_CLASSES)), plain, bands, rows)
     one = classes.select(F.col("c1").alias("x"), F.col("c2").alias("a2"), F.col("body").alias("body_a"))
     two = classes.select(F.col("c1").alias("y"), F.col("c2").alias("b2"), F.col("body").alias("body_b"))
     full = pairs.join(one, "x").join(two, "y").select(F.col("x").alias("a1"), "a2", F.col("y").alias("b1"), "b2", "body_a", "body_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value if weighted else None
+        w = shared.value[0]
         for b in (s for x in batches for s in slices(x)):
-            s = jaccard(_text_shingles(b.column(4)), _text_shingles(b.column(5)), w)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(s >= threshold - 1e-12))
+            left, right = _text_shingles(b.column(4)), _text_shingles(b.column(5))
+            s = jaccard(left, right, w)
+            good = s >= lowest - 1e-6
+            if not weighted:  # the exact check of what the weighted one lets pass
+                s = jaccard(left, right)
+                good &= s >= threshold - 1e-12
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(good))
 
     return full.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def prefix_pairs(classes: DataFrame, shared, n: int, threshold: float) -> DataFrame:
-    """Candidates (x < y), every pair of plain similarity >= threshold among them: the c1 of two classes.
+def candidate_pairs(classes: DataFrame, shared, n: int, plain: float, bands: int, rows: int) -> DataFrame:
+    """Candidates (x < y), the c1 of two classes that agree in all samples of a band and can have similarity `plain`.
 
-    Shingles are ordered by document frequency (`shared`), rarest first, ties by code.  Two sets of sizes a <= b that are
-    similar enough have o >= threshold / (1 + threshold) * (a + b) shingles in common; the first of them stands, in
-    either set, among the first size - o + 1.  So the larger set takes part under its b - ceil(threshold * b) + 1 rarest
-    shingles, the smaller one under fewer; what the sizes, the places of the shared shingle or the bitmaps rule out does
-    not leave the join.
+    Buckets of more than BUCKET_LIMIT classes are not paired as they are: there a class takes part under its
+    len - ceil(plain * len) + 1 rarest shingles (prefix filter), which no pair over the threshold escapes; so a bucket that a
+    third of all rows share through a common passage neither emits all its pairs nor loses one.  Of the pairs of a bucket
+    only those that the sets' sizes and bitmaps cannot rule out leave the join.  `shared` holds the weights and document counts.
     """
-    names = ["key", "c1", "n", "rank", "small", *BITMAP]
-    schema = "key bigint, c1 bigint, n int, rank int, small boolean, " + ", ".join(f"{c} bigint" for c in BITMAP)
-    share = threshold / (1 + threshold)
+
+    def keys(code: np.ndarray, at: np.ndarray, c1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        salt = 1 + (c1.view(np.uint64) % np.uint64(SALTS)).astype(np.int16)
+        for key in band_keys(code, at, shared.value[0], bands, rows):
+            found, where, many = np.unique(key, return_inverse=True, return_counts=True)
+            crowded = found[many > CROWDED]
+            where_to = np.where(many[where] > CROWDED, salt, np.int16(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c1), pa.array(where_to)], names=["key", "c1", "salt"])
+            if len(crowded):
+                yield pa.RecordBatch.from_arrays([pa.array(crowded.view(np.int64)), pa.nulls(len(crowded), pa.int64()), pa.array(np.zeros(len(crowded), np.int16))], names=["key", "c1", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = shared.value
+        # sets of several slices are sampled together, so that a crowded key shows however long the texts are
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                sizes = np.concatenate([np.diff(at) for _, at, _ in held])
+                yield from keys(np.concatenate([c for c, _, _ in held]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([c for _, _, c in held]))
+                held.clear()
+
         for b in (s for x in batches for s in slices(x)):
+            if len(b):
+                held.append((*_text_shingles(b.column(1)), b.column(0).to_numpy()))
+            if sum(len(c) for _, _, c in held) >= TASK_CLASSES or sum(len(c) for c, _, _ in held) >= 4_000_000:
+                yield from flush()
+        yield from flush()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, df = shared.value
+        for b in (s for x in batches for s in slices(x, 1 << 20)):
             code, at = _text_shingles(b.column(1))
             size = np.diff(at)
             own = np.repeat(np.arange(len(b)), size)
             order = np.lexsort((code, df[slot(code)], own))
-            rank = np.arange(len(code)) - at[own]
-            in_larger = rank <= (size - np.ceil(threshold * size - 1e-9))[own]
-            who, rank = own[in_larger], rank[in_larger]
-            in_smaller = rank <= (size - np.ceil(2 * share * size - 1e-9))[who]
-            take = lambda column: column.take(pa.array(who))
-            key = pa.array(code[order[in_larger]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, take(b.column(0)), pa.array(size[who].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(in_smaller), *(take(c) for c in b.columns[2:])], names=names)
-
-    keyed = classes.select("c1", "body", *BITMAP).repartition(n).mapInArrow(run, schema)
-    col = lambda side: (lambda c: F.col(f"{c}_{side}"))
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names[1:]]) for side in "ab")
-    left, right = col("a"), col("b")
-    least = (left("n") + right("n")) * share - 1e-9  # shingles in common
-    first = (left("n") < right("n")) | ((left("n") == right("n")) & (left("c1") < right("c1")))
-    apart = sum((F.bit_count(left(c).bitwiseXOR(right(c))) for c in BITMAP[1:]), F.bit_count(left("w0").bitwiseXOR(right("w0"))))
-    near = apart * (1 + threshold) <= (left("n") + right("n")) * (1 - threshold) + 1e-9
-    met = a.where("small_a").join(b, "key").where(first & (left("n") - left("rank") >= least) & (right("n") - right("rank") >= least) & near)
-    return met.select(F.least("c1_a", "c1_b").alias("x"), F.greatest("c1_a", "c1_b").alias("y")).distinct()
-
-
-def banded_pairs(classes: DataFrame, shared, n: int, bands: int, rows: int) -> DataFrame:
-    """Candidates (x < y) that agree in all samples of a band: the c1 of two classes.  `shared` holds the weights."""
-    limit = BUCKET_LIMIT
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for x in batches for s in slices(x)):
-            code, at = _text_shingles(b.column(1))
-            c1 = b.column(0).to_numpy()
-            salt = 1 + (c1.view(np.uint64) % np.uint64(SALTS)).astype(np.int16)
-            for key in band_keys(code, at, shared.value, bands, rows):
-                found, where, n = np.unique(key, return_inverse=True, return_counts=True)
-                crowded = found[n > limit]
-                where_to = np.where(n[where] > limit, salt, np.int16(0))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c1), pa.array(where_to)], names=["key", "c1", "salt"])
-                if len(crowded):
-                    yield pa.RecordBatch.from_arrays([pa.array(crowded.view(np.int64)), pa.nulls(len(crowded), pa.int64()), pa.array(np.zeros(len(crowded), np.int16))], names=["key", "c1", "salt"])
-
-    # Rows of a key that is crowded within one batch are known to be of a large bucket: they spread over salts, and a row
-    # without c1 tells the rest of the key, so no task gets a hot key whole.
+            first = np.arange(len(code)) - at[own] <= (size - np.ceil(plain * size - 1e-9))[own]
+            chosen, who = order[first], own[first]
+            buckets = b.column(2)
+            per = np.asarray(buckets.value_lengths())
+            start = np.concatenate([[0], np.cumsum(per)])[:-1]
+            twice = np.repeat(np.arange(len(who)), per[who])  # each rare shingle under each large bucket of its class
+            step = np.arange(len(twice)) - np.repeat(np.cumsum(per[who]) - per[who], per[who])
+            bucket = buckets.flatten().to_numpy().view(np.uint64)[start[who[twice]] + step]
+            key = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + mix(code[chosen[twice]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(who[twice]))], names=["key", "c1"])
+
+    # Rows of a key that is crowded among the classes sampled together are known to be of a large bucket: they spread over
+    # salts, and a row without c1 tells the rest of the key; so a task gets at most CROWDED of TASK_CLASSES of all classes under a key.
     keyed = classes.select("c1", "body").repartition(n).mapInArrow(run, "key bigint, c1 bigint, salt smallint")
     w = Window.partitionBy("key", "salt")
     crowd = keyed.withColumns({"n": F.count("c1").over(w), "told": F.count(F.lit(1)).over(w)})
-    is_large = (F.col("salt") > 0) | (F.col("n") > limit) | (F.col("told") > F.col("n"))
-    held = materialize(crowd.where(F.col("c1").isNotNull() & ((F.col("n") > 1) | is_large)).select("key", "c1"))
-    a, b = held.select("key", F.col("c1").alias("x")), held.select("key", F.col("c1").alias("y"))
-    return a.join(b, "key").where("x < y").select("x", "y").distinct()
-
-
-def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6, bands: int = 80, rows: int = 4, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    is_large = (F.col("salt") > 0) | (F.col("n") > BUCKET_LIMIT) | (F.col("told") > F.col("n"))
+    met = materialize(crowd.where("c1 IS NOT NULL").withColumn("large", is_large).where("n > 1 OR large").select("key", "c1", "large"))
+    in_large = met.where("large").groupBy("c1").agg(F.collect_set("key").alias("buckets"))  # at most `bands` keys a class
+    rare = classes.join(in_large, "c1").select("c1", "body", "buckets").mapInArrow(prefixes, "key bigint, c1 bigint")
+    # a shared c1 of two classes only lets more pairs through to the checks
+    marks = classes.groupBy("c1").agg(*[F.first(c).alias(c) for c in ("n", *BITMAP)], F.count(F.lit(1)).alias("same"))
+    held = materialize(met.where("NOT large").select("key", "c1").unionByName(rare).join(marks, "c1"))
+    names = ["c1", "n", "same", *BITMAP]
+    a, b = (held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in names]) for side in "ab")
+    col = lambda c, side: F.col(f"{c}_{side}")
+    apart = sum((F.bit_count(col(c, "a").bitwiseXOR(col(c, "b"))) for c in BITMAP[1:]), F.bit_count(col("w0", "a").bitwiseXOR(col("w0", "b"))))
+    both = col("n", "a") + col("n", "b")
+    near = (apart * (1 + plain) <= both * (1 - plain) + 1e-9) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * plain - 1e-9)
+    joined = a.join(b, "key").where((F.col("c1_a") < F.col("c1_b")) & (near | (col("same", "a") + col("same", "b") > 2)))
+    return joined.select(F.col("c1_a").alias("x"), F.col("c1_b").alias("y")).distinct()
+
+
+def near_duplicates(df: DataFrame, key: str, texts: str, threshold: float = 0.6, bands: int = 48, rows: int = 3, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members gives each key its class (c1, c2); links the similar pairs of different classes.
 
     Records are arrays of texts; null texts and arrays count as empty, and records without a shingle belong to no
     class.  Repeated rows give repeated members.  An empty table gives two empty results; further columns are not read.
-    No pair is missed, unless `weighted` (see similar_classes).
+    What the samples can miss is bounded by `bands` and `rows` (see similar_classes).
     """
     members = materialize(record_classes(df, key, texts))
     classes = materialize(members.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("body", "n", *BITMAP)]))
     return members.select(key, "c1", "c2"), similar_classes(classes, threshold, bands, rows, weighted)
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, texts: str, **how) -> DataFrame:
-    """All pairs of keys (a < b) whose records are similar, members of one class among them."""
+def near_duplicate_pairs(df: DataFrame, key: str, texts: str, hot: int = HOT_ROWS, **how) -> DataFrame:
+    """All pairs of keys (a < b) whose records are similar, members of one class among them.
+
+    Members of classes with more than `hot` records are salted in the joins that form their pairs.
+    """
     members, links = near_duplicates(df, key, texts, **how)
-    a = members.select(F.col(key).alias("x"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    b = members.select(F.col(key).alias("y"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    across = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    many = members.groupBy("c1", "c2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("c1", "c2")
-    inside = members.join(many, ["c1", "c2"], "left_semi")
-    left = inside.select("c1", "c2", F.col(key).alias("a"))
-    within = left.join(inside.select("c1", "c2", F.col(key).alias("b")), ["c1", "c2"]).where("a < b").select("a", "b")
+    sizes = materialize(members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")))
+    crowded = sizes.where(F.col("n") > hot_limit(members.count(), hot))
+    of = lambda name, side: members.select(F.col(key).alias(name), F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"))
+    hot_of = lambda side: crowded.select(F.col("c1").alias(f"{side}1"), F.col("c2").alias(f"{side}2"))
+    with_a = join_hot(of("x", "a"), links.select("a1", "a2", "b1", "b2"), ["a1", "a2"], hot_of("a"))
+    across = join_hot(of("y", "b"), with_a, ["b1", "b2"], hot_of("b")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    inside = members.join(sizes.where("lo <> hi").select("c1", "c2"), ["c1", "c2"], "left_semi")
+    left, right = (inside.select("c1", "c2", F.col(key).alias(name)) for name in "ab")
+    within = join_hot(left, right, ["c1", "c2"], crowded.select("c1", "c2")).where("a < b").select("a", "b")
     return across.unionByName(within).distinct()
 
 
