@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.llm.codepoints import gather, slices, to_arrow, to_codepoints
-from stemloom.session import materialize
+from stemloom.session import HOT_ROWS, hot_limit, join_groups, join_hot, materialize
 
 # Letters of other alphabets, or special Latin ones, that are shaped like a plain Latin letter.
 LOOKALIKES = {
@@ -252,22 +252,45 @@ def framed(points: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> pa.Arra
     return to_arrow(out, row_ends).cast(pa.string())
 
 
-def lookalike_pairs(df: DataFrame, key: str = "extract_no", stem: str = "stem", options: str = "options") -> DataFrame:
-    """Pairs (extract_a, extract_b) of rows that look the same but differ in a character.
+def _spellings(df: DataFrame, key: str, stem: str, options: str, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members k, look, raw of looks with more than one spelling; spellings look, raw, n, first; hot ones of them).
 
-    Rows are first grouped to classes of equal characters; only classes that look the same and differ are joined, and
-    their members last, so copies of one text cost one row until the result.  Forms are compared by SHA-256.  A repeated row (same key and texts)
-    counts once.  A null stem or option text counts as an empty one, null options as none; option labels and all other
-    columns are left aside.  An empty table gives no pairs.
+    Forms are told apart by their SHA-256.  Rows of a look are counted before they are joined back, and looks with more
+    than `hot` rows are joined by broadcast.
     """
     c = lookalike_classes(df.select(key, stem, options), key, stem, options)
     digest = lambda t: F.unhex(F.sha2(t, 256))
     c = materialize(c.select(F.col(key).alias("k"), digest("plain").alias("look"), digest("raw").alias("raw")))
-    # looks with more than one spelling
-    spread = c.groupBy("look").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("look")
-    c = c.join(spread, "look", "left_semi").distinct()
-    kinds = c.select("look", "raw").distinct()
+    total = c.count()
+    looks = c.groupBy("look").agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count(F.lit(1)).alias("rows_seen")).where("least <> most").select("look", "rows_seen")
+    members = materialize(join_groups(c, looks, ["look"], "rows_seen", total, hot).select("k", "look", "raw").distinct())
+    spellings = materialize(members.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first")))
+    return members, spellings, spellings.where(F.col("n") > hot_limit(total, hot)).select("raw")
+
+
+def lookalike_pairs(df: DataFrame, key: str = "extract_no", stem: str = "stem", options: str = "options", hot: int = HOT_ROWS) -> DataFrame:
+    """Pairs (extract_a, extract_b) of rows that look the same but differ in a character.
+
+    Rows are first grouped to classes of equal characters; only classes that look the same and differ are joined, and
+    their members last, so copies of one text cost one row until the result; members of a class with more than `hot` rows are
+    salted there.  A repeated row (same key and texts) counts once.  A null stem or option text counts as an empty one,
+    null options as none; option labels and all other columns are left aside.  An empty table gives no pairs.
+    """
+    members, kinds, crowded = _spellings(df, key, stem, options, hot)
     links = kinds.select("look", F.col("raw").alias("raw_a")).join(kinds.select("look", F.col("raw").alias("raw_b")), "look").where("raw_a < raw_b").select("raw_a", "raw_b")
-    m = c.select("k", "raw")
-    pairs = links.join(m.select(F.col("k").alias("x"), F.col("raw").alias("raw_a")), "raw_a").join(m.select(F.col("k").alias("y"), F.col("raw").alias("raw_b")), "raw_b")
+    of = lambda name, raw: members.select(F.col("k").alias(name), F.col("raw").alias(raw))
+    with_x = join_hot(of("x", "raw_a"), links, ["raw_a"], crowded.withColumnRenamed("raw", "raw_a"))
+    pairs = join_hot(of("y", "raw_b"), with_x, ["raw_b"], crowded.withColumnRenamed("raw", "raw_b"))
     return pairs.select(F.least("x", "y").alias("extract_a"), F.greatest("x", "y").alias("extract_b")).where("extract_a < extract_b").distinct()
+
+
+def lookalike_members(df: DataFrame, key: str = "extract_no", stem: str = "stem", options: str = "options", hot: int = HOT_ROWS) -> DataFrame:
+    """The same without pairs, whose number grows with the square of a look's rows: key, class_id, first (the smallest
+    key of the look), spelling_first (the smallest key with the same characters), n_spellings and n_rows of the look.
+
+    Only looks with more than one spelling are there; two rows of a class are a pair unless their spelling_first is the same.
+    """
+    members, kinds, crowded = _spellings(df, key, stem, options, hot)
+    looks = kinds.groupBy("look").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n_spellings"), F.sum("n").alias("n_rows"))
+    told = kinds.select("look", "raw", F.col("first").alias("spelling_first")).join(looks, "look")
+    return join_hot(members.select("k", "raw"), told, ["raw"], crowded).select(F.col("k").alias(key), F.hex("look").alias("class_id"), "first", "spelling_first", "n_spellings", "n_rows")

@@ -9,7 +9,7 @@ from stemloom.llm.bpe import count_tokens, encode_texts
 from stemloom.llm.canonical import collapsed, hidden_copies
 from stemloom.llm.icws import candidate_texts, near_duplicate_pairs, near_duplicates
 from stemloom.llm.packing import pack_documents
-from stemloom.llm.plain import lookalike_pairs
+from stemloom.llm.plain import lookalike_members, lookalike_pairs
 from stemloom.llm.spans import shared_spans
 from stemloom.session import load
 
@@ -34,6 +34,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(load(spark, sf, "extracted_questions"))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The extractions of looks with more than one spelling, each with its class."""
+    return lookalike_members(load(spark, sf, "extracted_questions"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     copies, _ = hidden_copies(load(spark, sf, "extracted_questions"))
     return copies.where("first <> extract_no").select(F.col("first").alias("first_extract_no"), "extract_no")
@@ -60,5 +65,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(load(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p6_found, p6_collapsed, p7_ids, p7_counts, p8_bins, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_classes, p6_found, p6_collapsed, p7_ids, p7_counts, p8_bins, p9_found)}
 ORACLE: dict[str, str] = {}

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stemloom.llm.plain import _plain_char, lookalike_pairs, plain_form, with_plain_form
+from stemloom.llm.plain import _plain_char, lookalike_members, lookalike_pairs, plain_form, with_plain_form
 
 
 def slow(t):
@@ -33,7 +33,7 @@ def test_random_bulk():
 
 @pytest.mark.parametrize(
     "a, b",
-    [("ＡＢ１", "AB1"), ("é", "é"), ("е", "e"), ("ё", "ë"), ("a b", "a b"), ("x​y", "xy"), ("⼭", "山"), ("⻢", "马"), ("路", "路"), ("ﬁ", "fi"), ("ⅹ", "x"), ("co­op", "coop"), ("❤️", "❤"), ("ɡ", "g"), ("ԁ", "d"), ("（", "("), ("　", " ")],
+    [("ＡＢ１", "AB1"), ("é", "é"), ("е", "e"), ("ё", "ë"), ("a b", "a b"), ("x​y", "xy"), ("⼭", "山"), ("⻢", "马"), ("路", "路"), ("ﬁ", "fi"), ("ⅹ", "x"), ("co­op", "coop"), ("❤️", "❤"), ("ɡ", "g"), ("ԁ", "d"), ("（", "("), ("　", " "), ("а\u030a", "å"), ("\u0456\u0308", "ï"), ("o\u200b\u0308", "ö"), ("Υ\u0308", "Ÿ"), ("\u00b5", "\u03bc")],
 )
 def test_same_look(a, b):
     got = plain_form(pa.array([a, b])).to_pylist()
@@ -73,3 +73,19 @@ def test_pairs_of_odd_rows(spark):
 def test_column(spark):
     df = spark.createDataFrame([("Ａ",), (None,), ("",)], "t string")
     assert [r.p for r in with_plain_form(df, "t", "p").collect()] == ["A", None, ""]
+
+
+def test_members_and_hot_rows(spark):
+    """The membership form holds the same pairs; salted members give the same result."""
+    df = spark.read.parquet("/root/testdata/sf0.01/extracted_questions.parquet")
+    want = {tuple(r) for r in lookalike_pairs(df).collect()}
+    rows = [tuple(r) for r in lookalike_pairs(df, hot=1).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    for hot in (1, 100_000):
+        m = lookalike_members(df, hot=hot).collect()
+        by = defaultdict(list)
+        for r in m:
+            by[r.class_id].append(r)
+        assert {tuple(sorted((a.extract_no, b.extract_no))) for g in by.values() for a, b in combinations(g, 2) if a.spelling_first != b.spelling_first} == want
+        assert all(r.n_rows == len(g) and r.first == min(x.extract_no for x in g) and r.n_spellings == len({x.spelling_first for x in g}) for g in by.values() for r in g)
+    assert lookalike_members(df.limit(0)).count() == 0
