@@ -7,13 +7,14 @@
    fit in memory.
 3. A group's suffixes are sorted to depth `length` by prefix doubling, which is the level of the group's suffix tree at
    that depth: suffixes with one rank lie below one node.  Nodes with leaves of two records mark shared runs.
-4. A prefix that very many stretches share is lengthened to the whole run: such runs are compared by content through
-   pre-aggregated counts, so no task ever holds them together.
+4. A prefix that very many stretches share is lengthened to the whole run, which then is a group of its own: runs are
+   brought together by the SHA-256 of their text through pre-aggregated counts, so no task ever holds them together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stemloom.llm.codepoints import gather, slices, to_arrow, to_codepoints
 from stemloom.llm.icws import mix
-from stemloom.session import materialize, salted, unsalted
+from stemloom.session import join_groups, materialize
 
 GRAM = 24
 CHUNK = 1 << 19
@@ -243,14 +244,13 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
                 many = np.diff(off) - length + 1
                 record = np.repeat(np.arange(len(part)), many)
                 step = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
-                at = off[record] + step
-                one = gram_hashes(points, length)[at]
-                two = gram_hashes(points[::-1].copy(), length)[len(points) - length - at]
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column(0).take(pa.array(record)), pa.array((part.column(1).to_numpy()[record] + step).astype(np.int32))], names=["one", "two", "k", "s"])
-
-    runs = bodies.where("hot").select("k", "lo", "body").mapInArrow(expand, f"one bigint, two bigint, k {kind}, s int")
-    both = runs.groupBy("one", "two").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("one", "two")
-    warm = salted(runs, 8, "k", "s").join(unsalted(both, 8), ["one", "two", "salt"], "left_semi").select("k", "s", (F.col("s") + length).alias("e"))
+                text = memoryview(points.astype("<u4", copy=False).tobytes())
+                run = [sha256(text[4 * i : 4 * (i + length)]).digest() for i in (off[record] + step).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(run, pa.binary()), part.column(0).take(pa.array(record)), pa.array((part.column(1).to_numpy()[record] + step).astype(np.int32))], names=["run", "k", "s"])
+
+    runs = bodies.where("hot").select("k", "lo", "body").mapInArrow(expand, f"run binary, k {kind}, s int")
+    both = runs.groupBy("run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n")
+    warm = join_groups(runs, both, ["run"], "n", n * (length - gram + 1)).select("k", "s", (F.col("s") + length).alias("e"))
     return merge_spans(cold.unionByName(warm), key)
 
 

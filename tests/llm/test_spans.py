@@ -89,6 +89,17 @@ def check_parts(rows, chunk):
         spans.CHUNK = old
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_forged_hashes_share_nothing(spark, monkeypatch, hot):
+    """All k-grams of one hash: texts decide, in groups and in lengthened prefixes."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "gram_hashes", lambda points, k: np.zeros(max(0, len(points) - k + 1), dtype=np.uint64))
+    rows = made(3)[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 40)
+    assert result(df, length=40, gram=12) == want and want
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 99), (4, "x" * 100), (5, "y" * 300), (5, "y" * 300)], "doc_id long, text string")
     assert result(df) == set()
