@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemloom.llm.codepoints import slices, to_arrow, to_codepoints
+from stemloom.llm.codepoints import gather, slices, to_arrow, to_codepoints
 from stemloom.llm.plain import flat_texts, letters_only
 from stemloom.session import HOT_ROWS, hot_limit, join_hot, materialize
 
@@ -46,8 +46,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def by_row_and_code(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """An order that brings equal codes of a row together (rows in order, codes in any): one sort of packed numbers.
+
+    Codes are packed as a hash beside their row; should two codes of a row share it, the plain sort is taken.
+    """
+    bits = max(1, int(row[-1]).bit_length()) if len(row) else 1
+    packed = row.astype(np.uint64) << np.uint64(64 - bits) | mix(code) >> np.uint64(bits)
+    order = np.argsort(packed)
+    packed, code = packed[order], code[order]
+    if ((packed[1:] == packed[:-1]) & (code[1:] != code[:-1])).any():
+        return order[np.lexsort((code, packed))]
+    return order
+
+
 def shingle_sets(points: np.ndarray, offsets: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each row and their n + 1 offsets.
+    """The distinct shingles of each row and their n + 1 offsets.
 
     A shingle is `width` (at most 3) code points packed in 63 bits, so equal numbers mean equal shingles; none runs over
     a GAP or a row's end.
@@ -65,7 +79,7 @@ def shingle_sets(points: np.ndarray, offsets: np.ndarray, width: int = 3) -> tup
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ok &= row[:m] == row[width - 1 :]
     code, row = code[ok], row[:m][ok]
-    order = np.lexsort((code, row))
+    order = by_row_and_code(row, code)
     code, row = code[order], row[order]
     new = np.ones(len(code), dtype=bool)
     new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
@@ -210,18 +224,27 @@ def band_keys(code: np.ndarray, at: np.ndarray, weights: np.ndarray, bands: int,
             yield key
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
-    """(Weighted) Jaccard similarity of the sets of a and b, row by row."""
-    n = len(a[1]) - 1
-    own = np.concatenate([np.repeat(np.arange(n), np.diff(x[1])) for x in (a, b)])
-    code = np.concatenate([a[0], b[0]])
-    order = np.lexsort((code, own))
-    code, own = code[order], own[order]
-    w = np.ones(len(code)) if weights is None else weights[slot(code)].astype(np.float64)
-    twice = np.zeros(len(code), dtype=bool)
-    twice[1:] = (code[1:] == code[:-1]) & (own[1:] == own[:-1])
-    both = np.bincount(own[twice], weights=w[twice], minlength=n)
-    return both / np.maximum(np.bincount(own, weights=w, minlength=n) - both, 1e-12)
+def pair_similarities(left: pa.Array, right: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(plain, weighted) Jaccard similarity of the shingle sets of two columns of bodies, row by row.
+
+    Each different body is cut to shingles once; shingles are numbered, and a shingle that stands twice under a pair is common.
+    """
+    n = len(left)
+    bodies = pa.concat_arrays([left, right]).dictionary_encode()
+    which = bodies.indices.to_numpy()
+    code, at = _text_shingles(bodies.dictionary)
+    distinct, number = np.unique(code, return_inverse=True)
+    w = weights[slot(distinct)].astype(np.float64)
+    size = np.diff(at)
+    sums = np.concatenate([[0.0], np.cumsum(w[number])])
+    weight = sums[at[1:]] - sums[at[:-1]]
+    found, _ = gather(number.astype(np.uint64), at[:-1][which], size[which])
+    pair = np.repeat(np.tile(np.arange(n, dtype=np.uint64), 2), size[which])
+    packed = np.sort(pair << np.uint64(32) | found)
+    common = packed[1:][packed[1:] == packed[:-1]]
+    of, what = (common >> np.uint64(32)).astype(np.int64), (common & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    both = lambda total, common: common / np.maximum(total[which[:n]] + total[which[n:]] - common, 1e-12)
+    return both(size.astype(np.float64), np.bincount(of, minlength=n)), both(weight, np.bincount(of, weights=w[what], minlength=n))
 
 
 def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 48, rows: int = 3, weighted: bool = False) -> DataFrame:
@@ -246,12 +269,11 @@ def similar_classes(classes: DataFrame, threshold: float = 0.6, bands: int = 48,
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value[0]
         for b in (s for x in batches for s in slices(x)):
-            left, right = _text_shingles(b.column(4)), _text_shingles(b.column(5))
-            s = jaccard(left, right, w)
-            good = s >= lowest - 1e-6
+            plain_one, weighted_one = pair_similarities(b.column(4), b.column(5), w)
+            good = weighted_one >= lowest - 1e-6
             if not weighted:  # the exact check of what the weighted one lets pass
-                s = jaccard(left, right)
-                good &= s >= threshold - 1e-12
+                good &= plain_one >= threshold - 1e-12
+            s = weighted_one if weighted else plain_one
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s)], names=["a1", "a2", "b1", "b2", "similarity"]).filter(pa.array(good))
 
     return full.mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from stemloom.llm import icws
-from stemloom.llm.icws import band_keys, candidate_texts, idf, jaccard, near_duplicate_pairs, near_duplicates, shingle_sets, slot
+from stemloom.llm.icws import band_keys, candidate_texts, idf, near_duplicate_pairs, pair_similarities, near_duplicates, shingle_sets, slot
 from stemloom.llm.codepoints import to_codepoints
 
 
@@ -138,6 +138,18 @@ def test_the_bands_give_the_pairs(spark, monkeypatch):
     assert near_duplicates(df, "id", "texts")[1].count() == 0
 
 
+def test_sets_when_hashes_collide(monkeypatch):
+    text = pa.array(["abcabcab", "", "zabc", "b" * 9])
+    want = [{"abc", "bca", "cab"}, set(), {"zab", "abc"}, {"bbb"}]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(icws, "mix", lambda x: np.zeros_like(x))
+        code, at = shingle_sets(*to_codepoints(text))
+        read = lambda c: "".join(chr(int(c) >> s & 0x1FFFFF) for s in (42, 21, 0))
+        got = [[read(c) for c in code[a:b]] for a, b in zip(at, at[1:])]
+        assert [set(g) for g in got] == want and [len(g) for g in got] == [3, 0, 2, 1]
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     words = np.array([chr(0x4E00 + i) for i in range(400)])
@@ -149,6 +161,6 @@ def test_samples_estimate_weighted_jaccard():
     x, y = set(code[: at[1]].tolist()), set(code[at[1] :].tolist())
     w = lambda s: weights[slot(np.array(sorted(s), dtype=np.uint64))].sum()
     exact = w(x & y) / w(x | y)
-    one = lambda i: (code[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))
-    assert abs(jaccard(one(0), one(1), weights)[0] - exact) < 1e-5
+    plain, weighted = pair_similarities(pa.array(["".join(a), "ab", "xyz"]), pa.array(["".join(b), "xyz", "xyz"]), weights)
+    assert abs(weighted[0] - exact) < 1e-5 and abs(plain[0] - len(x & y) / len(x | y)) < 1e-9 and plain[1:].tolist() == [0, 1] and weighted[1:].tolist() == [0, 1]
     assert abs((keys[:, 0] == keys[:, 1]).mean() - exact) < 0.03
