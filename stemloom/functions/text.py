@@ -15,10 +15,27 @@ WHITE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028
 ZERO_WIDTH = r"\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}"
 
 
+#: A noncharacter, which composes with nothing, between the texts of a batch.
+_BETWEEN = "\U0010fffe"
+
+
+def compose(texts: list[str | None]) -> list[str | None]:
+    """Canonical composition of many texts in two calls: joined, looked at, and only if needed composed and split again."""
+    given = ["" if t is None else t for t in texts]
+    joined = _BETWEEN.join(given)
+    if unicodedata.is_normalized("NFC", joined):
+        return texts
+    if joined.count(_BETWEEN) != len(given) - 1:  # a text holds the separator itself
+        return [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    return [g if g is None else t for t, g in zip(unicodedata.normalize("NFC", joined).split(_BETWEEN), texts)]
+
+
 @F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; ASCII texts pass untouched."""
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+    """Canonical composition, a batch at a time."""
+    given = s.tolist()
+    made = compose(given)
+    return s if made is given else pd.Series(made, dtype=object)
 
 
 def logical_lines(text: Column) -> Column:
