@@ -13,8 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,33 +114,78 @@ def _part(n: int) -> str:
     return ("." + chr(96 + len(d))) + d
 
 
+_PARTS = [_part(n) for n in range(4096)]
+
+
 def _escape(name: str) -> str:
     """A member name as a path part: never '[]', which stands for an element, and without '/'."""
     return name.replace("~", "~0").replace("/", "~1").replace("[", "~2")
 
 
-def walk(tree, member_order: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, str, str | None, str, str | None]]:
-    """(label, schema path, name, kind, value) of every node, parents before children."""
-    stack = [("", "$", None, tree, None)]
+class _Table:
+    """One schema path: whether its nodes are wanted, whether anything below it is, and the paths below."""
+
+    __slots__ = ("path", "emit", "descend", "members", "elements", "rules")
+
+    def __init__(self, path: str, rules: tuple[re.Pattern, re.Pattern] | None):
+        self.path, self.rules, self.members, self.elements = path, rules, {}, None
+        self.emit = rules is None or rules[0].fullmatch(path) is not None
+        self.descend = rules is None or rules[1].fullmatch(path) is not None
+
+    def member(self, name: str) -> _Table:
+        found = self.members.get(name)
+        if found is None:
+            found = _Table(f"{self.path}/{_escape(name)}", self.rules)
+            if len(self.members) < 10_000:  # names that are data would fill the memory
+                self.members[name] = found
+        return found
+
+    def element(self) -> _Table:
+        if self.elements is None:
+            self.elements = _Table(self.path + "/[]", self.rules)
+        return self.elements
+
+
+def walk(tree, root: _Table, member_order: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, _Table, str | None, str, str | None]]:
+    """(label, table, name, kind, value) of every wanted node, parents before children."""
+    stack = [("", root, None, tree, None)]
     while stack:
-        label, path, name, node, order = stack.pop()
+        label, table, name, node, order = stack.pop()
         if isinstance(node, _Members):
-            yield label, path, name, "object", None
+            if table.emit:
+                yield label, table, name, "object", None
+            if not table.descend:
+                continue
             if order:
                 rank = {x: i for i, x in enumerate(order)}
                 node = sorted(node, key=lambda m: rank.get(m[0], len(rank)))
-            for i, (k, v) in reversed(list(enumerate(node, 1))):
-                stack.append((label + _part(i), f"{path}/{_escape(k)}", k, v, member_order.get(k, order)))
+            below = [(i, table.member(k), k, v) for i, (k, v) in enumerate(node, 1)]
         elif isinstance(node, list):
-            yield label, path, name, "array", None
-            for i, v in reversed(list(enumerate(node, 1))):
-                stack.append((label + _part(i), path + "/[]", None, v, order))
-        elif node is None:
-            yield label, path, name, "null", None
-        elif node is True or node is False:
-            yield label, path, name, "boolean", "true" if node else "false"
+            if table.emit:
+                yield label, table, name, "array", None
+            if not table.descend:
+                continue
+            one = table.element()
+            below = [(i, one, None, v) for i, v in enumerate(node, 1)]
         else:
-            yield label, path, name, "number" if isinstance(node, _Number) else "string", str(node)
+            below = [(None, table, name, node)]
+        inner = []
+        for i, t, k, v in below:
+            if isinstance(v, list):
+                if t.emit or t.descend:
+                    inner.append((label + (_PARTS[i] if i < 4096 else _part(i)), t, k, v, member_order.get(k, order)))
+            elif t.emit:
+                at = label if i is None else label + (_PARTS[i] if i < 4096 else _part(i))
+                if type(v) is str:
+                    yield at, t, k, "string", v
+                elif v is None:
+                    yield at, t, k, "null", None
+                elif v is True or v is False:
+                    yield at, t, k, "boolean", "true" if v else "false"
+                else:
+                    yield at, t, k, "number", str(v)
+        inner.reverse()
+        stack += inner
 
 
 def _clean(s: str | None) -> str | None:
@@ -148,10 +193,12 @@ def _clean(s: str | None) -> str | None:
     return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
 
 
-def dewey_nodes(df: DataFrame, key: str, body: str, member_order: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def dewey_nodes(df: DataFrame, key: str, body: str, member_order: dict[str, tuple[str, ...]] | None = None, wanted: tuple[str, str] | None = None) -> DataFrame:
     """All nodes of the JSON documents in `body`: key, label, schema_path, name, kind, value.
 
     member_order: below a member of that name, objects are numbered with the given members first, in that order.
+    wanted: two patterns of schema paths, of the nodes that are given and of those that are searched for such; labels are
+    the same as without.
     Null, empty and invalid documents give no rows; an empty table gives none; other columns are left out, so no name
     can clash.  Labels and paths grow with the depth of a node, so a document nested d deep costs d squared characters.  Repeated member names stay separate nodes.  Repeated rows give their nodes repeatedly.  Numbers keep
     their digits as written.  The label of the root is ''.
@@ -160,32 +207,46 @@ def dewey_nodes(df: DataFrame, key: str, body: str, member_order: dict[str, tupl
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *NODE_FIELDS])
     names = schema.fieldNames()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = _Table("$", tuple(map(re.compile, wanted)) if wanted else None)
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for k, text in zip(b[key].tolist(), b[body].tolist()):
+
+            def batch() -> pa.RecordBatch:
+                at, *columns = zip(*rows)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, pa.string()) for c in columns)], names=names)
+
+            for i, text in enumerate(b.column(1).to_pylist()):
                 ok, tree = parse_document(text)
-                for lab, path, name, kind, value in walk(tree, order) if ok else ():
-                    rows.append((k, lab, _clean(path), _clean(name), kind, _clean(value)))
-                    size += 100 + len(lab) + len(path) + len(value or "")
+                if not ok:
+                    continue
+                dirty = "\\u" in text
+                for label, table, name, kind, value in walk(tree, root, order):
+                    path = table.path
+                    if dirty:
+                        path, name, value = _clean(path), _clean(name), _clean(value)
+                    rows.append((i, label, path, name, kind, value))
+                    size += 100 + len(label) + len(path) + len(value or "")
                     if size > 8_000_000:  # bounds a batch whatever the documents hold
-                        yield pd.DataFrame(rows, columns=names)
+                        yield batch()
                         rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield batch()
 
-    return df.select(key, body).mapInPandas(run, schema)
+    return df.select(key, body).mapInArrow(run, schema)
 
 
 def parent_label(label: Column) -> Column:
     """The label of the parent: the last part cut off."""
-    return F.regexp_replace(label, r"\.[^.]*$", "")
+    return F.left(label, F.greatest(F.length(label) - F.length(F.substring_index(label, ".", -1)) - 1, F.lit(0)))
 
 
 def ancestor_label(label: Column, depth: int | Column) -> Column:
     """The label cut to its first `depth` parts."""
-    return F.substring_index(label, ".", (F.lit(depth) if isinstance(depth, int) else depth) + 1) if isinstance(depth, int) else F.array_join(F.slice(F.split(label, r"\."), F.lit(1), depth + 1), ".")
+    if isinstance(depth, int):
+        return F.substring_index(label, ".", depth + 1)
+    return F.array_join(F.slice(F.split(label, r"\."), F.lit(1), depth + 1), ".")
 
 
 def dewey_tables(nodes: DataFrame, key: str) -> DataFrame:
@@ -193,40 +254,48 @@ def dewey_tables(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.select(key, F.col("schema_path").alias("table_path"), "label", F.when(F.col("label") != "", parent_label(F.col("label"))).alias("parent_label"), "name", "kind", "value")
 
 
-QUESTION = r"^\$(/sections/\[\])?/questions/\[\]"
+# Schema paths of questions and, below them, of what becomes a child row; and of all that leads there.
+_AT = r"\$(?:/sections/\[\])?/questions/\[\]"
+_LOCATOR, _NOTE = r"/source_reference(?:/\[\])*/locator(?:/\[\])*", r"/metadata/qbc_extraction_notes(?:/\[\]|/text|/items)*"
+CHILDREN = (
+    rf"{_AT}(?:|/options/[^/]*|/options/\[\]/label|{_LOCATOR}|{_NOTE})",
+    rf"\$|\$/sections|\$/sections/\[\]|\$(?:/sections/\[\])?/questions|{_AT}(?:|/options|/options/\[\]|/source_reference(?:/\[\])*|{_LOCATOR}|/metadata|{_NOTE})",
+)
+_FLAT, _NESTED = "$/questions/[]", "$/sections/[]/questions/[]"
 
 
 def question_children(banks: DataFrame, key: str = "file_no", body: str = "body") -> DataFrame:
     """Options, locators and notes of bank documents: key, child_kind, question_pos, child_pos, child_key.
 
     Questions are the objects in `questions` and in `sections[].questions`, numbered by label over the whole document.
-    One shuffle by document; the widest group is one document.
+    One shuffle by document, one sort; the widest group is one document.
     """
-    nodes = dewey_nodes(banks, key, body, {"qbc_extraction_notes": ("text", "items")})
-    path, label = F.col("schema_path"), F.col("label")
-    depth = F.when(path.startswith("$/sections/"), F.lit(4)).otherwise(F.lit(2))
-    q = nodes.where(path.rlike(QUESTION)).withColumn("question", ancestor_label(label, depth))
-    rest = F.regexp_replace(path, QUESTION, "")
-    leaf = F.col("kind").isin("string", "number", "boolean")
-    q = q.withColumn("rest", rest)
+    nodes = dewey_nodes(banks, key, body, {"qbc_extraction_notes": ("text", "items")}, CHILDREN)
+    path, label, kind, value = (F.col(c) for c in ("schema_path", "label", "kind", "value"))
+    nested = path.startswith(_NESTED)
+    rest = F.substring(path, F.when(nested, len(_NESTED) + 1).otherwise(len(_FLAT) + 1), F.length(path))
+    q = nodes.withColumns({"question": F.when(nested, ancestor_label(label, 4)).otherwise(ancestor_label(label, 2)), "rest": rest})
+    leaf = kind.isin("string", "number", "boolean")
     part = (
-        F.when((F.col("rest") == "") & (F.col("kind") == "object"), F.lit("question"))
+        F.when((F.col("rest") == "") & (kind == "object"), F.lit("question"))
         .when(F.col("rest") == "/options/[]", F.lit("element"))
         .when((F.col("rest") == "/options/[]/label") & leaf, F.lit("label"))
-        .when(F.col("rest").rlike(r"^/options/[^/]*$"), F.lit("member"))
-        .when(F.col("rest").rlike(r"^/source_reference(/\[\])*/locator(/\[\])*$") & leaf, F.lit("locator"))
-        .when(F.col("rest").rlike(r"^/metadata/qbc_extraction_notes(/\[\]|/text|/items)*$") & (F.col("kind") == "string") & F.col("value").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit("note"))
+        .when(F.col("rest").startswith("/options/") & (F.col("rest") != "/options/[]/label"), F.lit("member"))
+        .when(F.col("rest").startswith("/source_reference") & leaf, F.lit("locator"))
+        .when(F.col("rest").startswith("/metadata") & (kind == "string") & value.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit("note"))
     )
     q = q.withColumn("part", part).where(F.col("part").isNotNull())
     # a label row joins its option element by truncation
     own = F.when(F.col("part") == "label", parent_label(label)).otherwise(label)
-    text = F.when(F.col("part") == "member", F.col("name")).when(F.col("part").isin("label", "locator", "note"), F.col("value"))
-    kind = F.when(F.col("part").isin("element", "label", "member"), F.lit("option")).otherwise(F.col("part"))
-    rows = q.select(key, "question", own.alias("own"), kind.alias("child_kind"), text.alias("text"))
+    text = F.when(F.col("part") == "member", F.col("name")).when(F.col("part").isin("label", "locator", "note"), value)
+    child_kind = F.when(F.col("part").isin("element", "label", "member"), F.lit("option")).otherwise(F.col("part"))
+    rows = q.select(key, "question", own.alias("own"), child_kind.alias("child_kind"), text.alias("text"))
     rows = rows.repartition(F.col(key)).groupBy(key, "question", "own", "child_kind").agg(F.coalesce(F.max("text"), F.lit("")).alias("child_key"))
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("question_pos", F.dense_rank().over(Window.partitionBy(key).orderBy("question")))
-    rows = rows.where(F.col("child_kind") != "question")
-    rows = rows.withColumn("child_pos", F.row_number().over(Window.partitionBy(key, "question", "child_kind").orderBy("own")))
+    by = Window.partitionBy(key).orderBy("question", "own", "child_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("question").over(Window.partitionBy(key).orderBy("question", "own", "child_kind"))
+    rows = rows.withColumn("fresh", (~before.eqNullSafe(F.col("question"))).cast("int"))
+    rows = rows.withColumn("question_pos", F.sum("fresh").over(by))
+    within = Window.partitionBy(key, "question").orderBy("own", "child_kind").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.coalesce(*[F.when(F.col("child_kind") == k, F.count(F.when(F.col("child_kind") == k, 1)).over(within)) for k in ("option", "locator", "note")])
+    rows = rows.withColumn("child_pos", at).where(F.col("child_kind") != "question")
     return rows.select(key, "child_kind", F.col("question_pos").cast("int"), F.col("child_pos").cast("int"), "child_key")
