@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stemloom.llm.codepoints import gather, to_bytes
+from stemloom.llm.codepoints import gather, slices, to_bytes
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 # The endings that the byte-level pattern splits off after an apostrophe.
@@ -218,6 +218,34 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = No
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, ids array<int>")
 
 
+def decode_ids(df: DataFrame, key: str, ids: str, vocabulary: str | None = None) -> DataFrame:
+    """key and text of lists of ids, the opposite of encode_texts.
+
+    An empty or null list gives an empty text; ids outside the vocabulary are an error.
+    """
+    shared = _share(df, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(shared.value)
+        size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, i in ranks.items():
+            size[i] = len(token)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        table = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), dtype=np.uint8)
+        for b in (s for x in batches for s in slices(x)):
+            lists = b.column(1).fill_null([])
+            flat = lists.flatten().to_numpy()
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or not size[flat].all()):
+                raise ValueError("an id is not in the vocabulary")
+            data, off = gather(table, start[flat], size[flat])
+            rows = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            text = pa.LargeStringArray.from_buffers(len(b), pa.py_buffer(off[rows].astype(np.int64)), pa.py_buffer(data.tobytes()))
+            text.validate(full=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), text.cast(pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")
+
+
 def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """key and n_tokens of each text, by the same fragments, without building the ids."""
     shared = _share(df, vocabulary)

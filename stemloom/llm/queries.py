@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemloom.llm.bpe import count_tokens, encode_texts
+from stemloom.llm.bpe import count_tokens, decode_ids, encode_texts
 from stemloom.llm.canonical import collapsed, hidden_copies
 from stemloom.llm.icws import candidate_texts, near_duplicate_pairs, near_duplicates
 from stemloom.llm.packing import pack_documents
 from stemloom.llm.plain import lookalike_members, lookalike_pairs
 from stemloom.llm.spans import shared_spans
-from stemloom.session import load
+from stemloom.llm.sql import ORACLE  # noqa: F401
+from stemloom.session import join_groups, load, materialize
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,11 +24,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Each candidate with its class and the number of similar other classes."""
+    """Each candidate with its class, named by its smallest candidate, and the number of similar other classes."""
     members, links = near_duplicates(_texts(spark, sf), "candidate_id", "texts")
     ends = links.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionAll(links.select("b1", "b2"))
     n = ends.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(n, ["c1", "c2"], "left").select("candidate_id", F.concat_ws("-", F.hex("c1"), F.hex("c2")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = members.groupBy("c1", "c2").agg(F.min("candidate_id").alias("class_first"), F.count(F.lit(1)).alias("n_members"))
+    classes = classes.join(n, ["c1", "c2"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return join_groups(members, classes, ["c1", "c2"], "n_members", members.count()).select("candidate_id", "class_first", "n_links")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +39,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
     """The extractions of looks with more than one spelling, each with its class."""
-    return lookalike_members(load(spark, sf, "extracted_questions"))
+    return lookalike_members(load(spark, sf, "extracted_questions")).drop("class_id")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +60,29 @@ def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(load(spark, sf, "documents"), "doc_id", "text")
 
 
+def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each text as its ids give it back."""
+    ids = encode_texts(load(spark, sf, "documents"), "doc_id", "text")
+    return decode_ids(ids, "doc_id", "ids").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def p8_bins(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(load(spark, sf, "documents"))
 
 
+def p8_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Each packed document, and whether its pieces follow each other without a gap, only the last one short of the
+    capacity, in bins that are not over it."""
+    bins = materialize(pack_documents(load(spark, sf, "documents")))
+    full = bins.groupBy("bin_id").agg(F.sum("n_tokens").alias("load"))
+    b = bins.join(full, "bin_id")
+    good = (F.col("start") == (F.col("piece") - 1) * 4096) & (F.col("load") <= 4096) & (F.col("n_tokens") > 0)
+    short = F.count_if(F.col("n_tokens") < 4096)
+    return b.groupBy("doc_id").agg((F.bool_and(good) & (F.max("piece") == F.count(F.lit(1))) & (short <= 1)).alias("fits"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans(load(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_classes, p6_found, p6_collapsed, p7_ids, p7_counts, p8_bins, p9_found)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_classes, p6_found, p6_collapsed, p7_ids, p7_counts, p7_roundtrip, p8_bins, p8_cover, p9_found)}

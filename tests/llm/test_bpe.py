@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stemloom.llm import bpe
-from stemloom.llm.bpe import FragmentEncoder, count_tokens, encode_texts, vocabulary_path
+from stemloom.llm.bpe import FragmentEncoder, count_tokens, decode_ids, encode_texts, vocabulary_path
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +77,14 @@ def test_no_token_holds_a_forced_cut(mine):
     for t in mine.ranks:
         b = np.frombuffer(t, np.uint8).astype(int)
         assert mine.inside[b[:-1] * 256 + b[1:]].all()
+
+
+def test_ids_give_the_texts_back(spark):
+    rows = [(1, "Hello, 世界 😀\r\n"), (2, ""), (3, None), (4, "x" * 50_000), (5, " \t<|endoftext|>")]
+    df = spark.createDataFrame(rows, "k long, t string").selectExpr("*", "1 AS ids", "2 AS text")
+    got = {r.k: r.text for r in decode_ids(encode_texts(df, "k", "t"), "k", "ids").collect()}
+    assert got == {k: t or "" for k, t in rows}
+    lists = spark.createDataFrame([(1, None), (2, [])], "k long, ids array<int>")
+    assert [r.text for r in decode_ids(lists, "k", "ids").collect()] == ["", ""] and decode_ids(lists.limit(0), "k", "ids").count() == 0
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        decode_ids(spark.createDataFrame([(1, [10**7])], "k long, ids array<int>"), "k", "ids").collect()
