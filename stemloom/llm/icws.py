@@ -32,7 +32,7 @@ RATIO = 1.25
 BUCKET_LIMIT = 512
 #: Classes that one sampling task takes at a time, and those of them in one bucket from which it counts as large at once.
 TASK_CLASSES = 10_000
-CROWDED = 64
+CROWDED = 128
 SALTS = 64
 #: 64-bit words of a class's bitmap.
 WORDS = 4
