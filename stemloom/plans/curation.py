@@ -101,7 +101,7 @@ def _document_lines_by_document(spark, sf) -> DataFrame:
     return lines.document_lines(load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), "doc_id", "text")
 
 
-@query(f"""WITH {_LINES},
+_BOUNDS = f"""{_LINES},
 m AS (SELECT *, {_strip('normalized_text')} AS s, regexp_matches(normalized_text, '{_NUM}') AS is_number, regexp_matches(normalized_text, '{_re2(lines.CHINESE_MARKER)}') AS is_chinese FROM n),
 p AS (SELECT *, regexp_matches(s, '{lines.HEADING}') OR s IN ('单项选择题', '多项选择题', '课程名称') AS heading, {_false('s')} AS false_number, is_number OR is_chinese AS has_marker,
   CASE WHEN is_number THEN {_strip(f"regexp_extract(normalized_text, '{_NUM}', 6)")} WHEN is_chinese THEN {_strip(f"regexp_extract(normalized_text, '{_re2(lines.CHINESE_MARKER)}', 2)")} END AS stem0,
@@ -111,7 +111,10 @@ t AS (SELECT *, starts_with(stem0, '[single_choice]') AS typed FROM p),
 u AS (SELECT *, {_strip("CASE WHEN typed THEN substr(stem0, 16) ELSE stem0 END")} AS stem FROM t),
 v AS (SELECT *, length(stem) >= 4 AND NOT {_false(_strip('stem'))} AND regexp_matches(stem, '[^\\p{{Nd}}]') AS plausible FROM u),
 x AS (SELECT *, CASE WHEN heading OR false_number OR NOT has_marker THEN 'NONE' WHEN stem = '' THEN 'WEAK' WHEN plausible AND (typed OR starts_with(marker, '(')) THEN 'STRONG' WHEN plausible THEN 'MEDIUM' ELSE 'WEAK' END AS strength FROM v),
-b AS (SELECT *, sum(CASE WHEN strength IN ('STRONG', 'MEDIUM') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block, nullif(regexp_extract(normalized_text, '{_re2(lines.OPTION_LINE)}', 1), '') AS label FROM x),
+b AS (SELECT *, sum(CASE WHEN strength IN ('STRONG', 'MEDIUM') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block, nullif(regexp_extract(normalized_text, '{_re2(lines.OPTION_LINE)}', 1), '') AS label FROM x)"""
+
+
+@query(f"""WITH {_BOUNDS},
 c AS (SELECT *, coalesce(CASE WHEN strength IN ('STRONG', 'MEDIUM') THEN block - 1 ELSE block END, 0) AS own FROM b),
 k AS (SELECT a.doc_id, a.line, count(DISTINCT o.label) AS n FROM c a JOIN c o ON a.doc_id = o.doc_id AND o.block = a.own AND a.own > 0 AND o.line < a.line GROUP BY 1, 2)
 SELECT c.doc_id, CAST(c.line AS INTEGER) AS line, strength, CASE WHEN has_marker AND NOT heading AND NOT false_number THEN number END AS question_number,
@@ -122,10 +125,35 @@ def boundary_signals(spark, sf):
     return d.select("doc_id", "line", "strength", "question_number", "question_marker", "stem_preview", "previous_complete", "option_state")
 
 
-@query()
+_MARK = _re2(lines.MARKER)
+_OPTIONS = f"""{_BOUNDS},
+act AS (SELECT doc_id, line, raw_text, normalized_text AS t, strength IN ('STRONG', 'MEDIUM') AS bd, max(CASE WHEN strength IN ('STRONG', 'MEDIUM') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS active FROM b),
+ol AS (SELECT doc_id, line, raw_text, t, regexp_matches(t, '^[ \\t]*[A-Za-z]、[A-Za-z](?:两组|组)') AS grp, ' ' || nullif(regexp_extract(t, '(?s)^[ \\t]*(?:[-*+][ \\t]*)?({_MARK}.*)$', 1), '') AS body FROM act WHERE active = 1 AND NOT bd),
+om AS (SELECT doc_id, line, i AS spot, marks[i] AS marker, {_strip("texts[i + 1]")} AS found FROM (SELECT *, unnest(range(1, len(marks) + 1)) AS i FROM (SELECT *, regexp_extract_all(body, '{W}({_MARK})', 1) AS marks, string_split_regex(body, '{W}{_MARK}') AS texts FROM ol WHERE NOT grp AND body IS NOT NULL))
+  UNION ALL SELECT doc_id, line, 1, NULL, {_strip("raw_text")} FROM ol WHERE NOT grp AND body IS NULL AND {_strip("t")} <> ''),
+oo AS (SELECT *, sum(CASE WHEN marker IS NOT NULL AND found <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line, spot) AS ordinal FROM om),
+og AS (SELECT doc_id, ordinal, min(line) FILTER (marker IS NOT NULL AND found <> '') AS line, any_value(marker) FILTER (found <> '' AND marker IS NOT NULL) AS marker, any_value(found) FILTER (found <> '' AND marker IS NOT NULL) AS own,
+  string_agg(found, chr(10) ORDER BY line) FILTER (marker IS NULL) AS more, coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (marker IS NULL), '') AS continuation_lines FROM oo WHERE ordinal > 0 GROUP BY 1, 2),
+ob AS (SELECT *, upper(regexp_extract(marker, '[A-Za-z]')) AS label FROM og),
+oz AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY ordinal) > 1 AS seen, coalesce(max(ascii(label)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 65) AS expected FROM ob)"""
+
+
+@query(f"""WITH {_OPTIONS} SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(ordinal AS BIGINT) AS ordinal, label, marker, CASE WHEN marker[1] = '(' THEN 'parenthesized' WHEN marker[1] = '（' THEN 'fullwidth_parenthesized'
+  ELSE CASE marker[-1] WHEN '.' THEN 'dot' WHEN '、' THEN 'ideographic_comma' WHEN '．' THEN 'fullwidth_dot' WHEN ')' THEN 'close_parenthesis' WHEN '：' THEN 'fullwidth_colon' END END AS style,
+  concat_ws(chr(10), own, more) AS option_text, continuation_lines, concat_ws(',', CASE WHEN regexp_matches(marker, '^[a-z]') THEN 'LOWERCASE_LABEL_NORMALIZED' END, CASE WHEN seen THEN 'DUPLICATE_OPTION_LABEL' WHEN ascii(label) <> expected THEN 'OPTION_SEQUENCE_GAP' END) AS warnings FROM oz""")
 def option_markers(spark, sf):
-    d = lines.boundaries(_document_lines_by_document(spark, sf), "doc_id")
-    return lines.option_markers(d, "doc_id")
+    d = lines.option_markers(lines.boundaries(_document_lines_by_document(spark, sf), "doc_id"), "doc_id")
+    return d.withColumns({"continuation_lines": F.array_join(F.transform("continuation_lines", lambda x: x.cast("string")), ","), "warnings": F.array_join("warnings", ",")})
+
+
+@query(f"""WITH {_OPTIONS}, ws AS (SELECT doc_id, 'LETTER_GROUP_NOT_OPTION' AS w FROM ol WHERE grp UNION SELECT doc_id, 'INCOMPLETE_OPTION_MARKER' FROM om WHERE marker IS NOT NULL AND found = ''
+  UNION SELECT doc_id, CASE WHEN seen THEN 'DUPLICATE_OPTION_LABEL' ELSE 'OPTION_SEQUENCE_GAP' END FROM oz WHERE seen OR ascii(label) <> expected),
+ds AS (SELECT DISTINCT doc_id FROM ol WHERE grp OR body IS NOT NULL OR {_strip("t")} <> ''),
+rs AS (SELECT doc_id, (SELECT count(*) FROM oz WHERE oz.doc_id = ds.doc_id) AS n_options, coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM ws WHERE ws.doc_id = ds.doc_id), '') AS warnings FROM ds)
+SELECT doc_id, n_options, CASE WHEN n_options = 0 THEN 'none' WHEN warnings <> '' THEN 'medium' ELSE 'high' END AS confidence, warnings FROM rs""")
+def option_report(spark, sf):
+    d = lines.option_report(lines.boundaries(_document_lines_by_document(spark, sf), "doc_id"), "doc_id")
+    return d.withColumn("warnings", F.array_join("warnings", ","))
 
 
 def strict_texts(spark, sf) -> DataFrame:
@@ -136,25 +164,70 @@ def strict_texts(spark, sf) -> DataFrame:
     return q.select("question_id", F.array_join(F.concat(F.array(head), opts), "\n").alias("text"))
 
 
-@query()
+_STRICT_TEXTS = """src AS (SELECT question_id AS key, array_to_string(list_prepend('1. [' || coalesce(question_type, '') || '] ' || regexp_replace(coalesce(stem, ''), '[\\r\\n]+', ' ', 'g'),
+  list_transform(coalesce(options, []), lambda o: '- ' || coalesce(o.label, '') || '. ' || regexp_replace(coalesce(o.text, ''), '[\\r\\n]+', ' ', 'g'))), chr(10)) AS text FROM (SELECT DISTINCT question_id, question_type, stem, options FROM question_bank))"""
+_EDGE = f"[^{T.WHITE}](?:.*[^{T.WHITE}])?"
+
+
+def _strict_sql(source: str) -> str:
+    """Fences by a recursive walk over their lines, blocks by running counts, of each block its first fault."""
+    header, option = rf"^[ \t]*([1-9][0-9]*)[.)][ \t]+\[single_choice\][ \t]+({_EDGE})[ \t]*$", rf"^[ \t]*[-*+][ \t]+([A-Z])[.)][ \t]+({_EDGE})[ \t]*$"
+    like = r"^[ \t]*[0-9]+[.)](?:[ \t]+(.*)|(\[.*))?$"
+    return f"""{source},
+sl AS (SELECT key, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT key, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS x FROM src WHERE text IS NOT NULL)),
+fc AS (SELECT key, line, f, trim(t, ' ' || chr(9)) AS bare, row_number() OVER (PARTITION BY key ORDER BY line) AS i FROM (SELECT *, regexp_extract(t, '^[ \\t]*(`{{3,}}|~{{3,}}).*$', 1) AS f FROM sl) WHERE f <> ''),
+st AS (SELECT key, i, line, f AS mark, line AS since FROM fc WHERE i = 1
+  UNION ALL SELECT fc.key, fc.i, fc.line, CASE WHEN st.mark IS NULL THEN fc.f WHEN fc.f[1] = st.mark[1] AND length(fc.bare) >= length(st.mark) AND replace(fc.bare, st.mark[1], '') = '' THEN NULL ELSE st.mark END, CASE WHEN st.mark IS NULL THEN fc.line ELSE st.since END
+  FROM st JOIN fc ON fc.key = st.key AND fc.i = st.i + 1),
+open AS (SELECT key, arg_max(since, i) AS line FROM st GROUP BY key HAVING arg_max(CASE WHEN mark IS NULL THEN 'shut' ELSE 'open' END, i) = 'open'),
+vis AS (SELECT sl.key, sl.line, sl.t FROM sl ASOF LEFT JOIN st ON sl.key = st.key AND sl.line > st.line WHERE st.mark IS NULL),
+cl AS (SELECT *, CASE WHEN regexp_matches(t, '^[ \\t]*(`{{3,}}|~{{3,}})') THEN 'FENCE' WHEN regexp_matches(t, '{header}') THEN 'HEADER' WHEN regexp_matches(t, '{like}') THEN 'QLIKE' WHEN regexp_matches(t, '{option}') THEN 'OPTION'
+  WHEN regexp_matches(t, '^[ \\t]*[-*+][ \\t]+[a-z][.)][ \\t]+{_EDGE}[ \\t]*$') THEN 'LOWER' WHEN regexp_matches(t, '^[ \\t]*[-*+][ \\t]+[A-Za-z][.)]') THEN 'OPTLIKE' WHEN regexp_full_match(t, '[ \\t]*') THEN 'BLANK' ELSE 'OTHER' END AS class FROM vis),
+bl AS (SELECT *, sum(CASE WHEN class IN ('HEADER', 'QLIKE') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY line) AS block FROM cl),
+hd AS (SELECT *, first_value(class) OVER (PARTITION BY key, block ORDER BY line) AS head, min(line) OVER (PARTITION BY key, block) AS head_line, sum(CASE WHEN class = 'OPTION' THEN 1 ELSE 0 END) OVER (PARTITION BY key, block ORDER BY line) AS nth, coalesce(nullif(regexp_extract(t, '{like}', 1), ''), regexp_extract(t, '{like}', 2)) AS rest FROM bl),
+ft AS (SELECT *, CASE WHEN block = 0 AND class IN ('OPTION', 'LOWER', 'OPTLIKE') THEN 'outside' WHEN block > 0 AND head = 'QLIKE' AND line = head_line THEN CASE WHEN regexp_matches(rest, '^\\[[^\\]]*\\]') AND NOT starts_with(rest, '[single_choice]') THEN 'type' ELSE 'header' END
+  WHEN head <> 'HEADER' OR block = 0 THEN NULL WHEN class = 'LOWER' OR (class = 'OPTION' AND ascii(regexp_extract(t, '{option}', 1)) - 64 <> nth) THEN 'options' WHEN class = 'OPTLIKE' THEN 'malformed' WHEN class IN ('OTHER', 'FENCE') THEN 'unknown' END AS fault FROM hd),
+bs AS (SELECT key, block, min(head) AS head, min(head_line) AS head_line, arg_min(fault, line) FILTER (fault IS NOT NULL) AS fault, min(line) FILTER (fault IS NOT NULL) AS fault_line, count(*) FILTER (class = 'OPTION') AS n_options, any_value(t) FILTER (line = head_line) AS t FROM ft WHERE block > 0 GROUP BY 1, 2),
+bq AS (SELECT *, coalesce(fault, CASE WHEN head = 'HEADER' AND n_options < 2 THEN 'options' END) AS why FROM bs),
+fd AS (SELECT key, CASE WHEN why = 'options' THEN head_line ELSE fault_line END AS line, why FROM bq WHERE why IS NOT NULL UNION ALL SELECT key, line, fault FROM ft WHERE fault = 'outside' UNION ALL SELECT key, line, 'fence' FROM open),
+qs AS (SELECT key, regexp_extract(t, '{header}', 1) AS display_number, regexp_extract(t, '{header}', 2) AS stem, head_line, n_options FROM bq WHERE why IS NULL)"""
+
+
+_SUMMARY = "CASE why " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in strict.SUMMARIES.items()) + " END"
+_CODE = "CASE WHEN why = 'type' THEN 'QB-TYPE-UNSUPPORTED' ELSE 'QB-STRUCTURE-AMBIGUOUS' END"
+_BANK_STRICT, _DOC_STRICT = _strict_sql(_STRICT_TEXTS), _strict_sql("src AS (SELECT doc_id AS key, text FROM documents)")
+
+
+@query(f"WITH RECURSIVE {_BANK_STRICT} SELECT key AS question_id, display_number, stem, CAST(head_line AS INTEGER) AS header_line, CAST(n_options AS INTEGER) AS n_options FROM qs")
 def strict_questions(spark, sf):
     q, _, _ = strict.strict_parse(strict_texts(spark, sf), "question_id", "text")
     return q.select("question_id", "display_number", "stem", "header_line", F.size("options").alias("n_options"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BANK_STRICT} SELECT key AS question_id, CAST(line AS INTEGER) AS line, {_CODE} AS code, {_SUMMARY} AS summary FROM fd")
 def strict_findings(spark, sf):
     _, f, _ = strict.strict_parse(strict_texts(spark, sf), "question_id", "text")
     return f
 
 
-@query()
+_REPORT = """rp AS (SELECT d.key, (SELECT count(*) FROM qs WHERE qs.key = d.key) AS accepted, (SELECT count(*) FROM bq WHERE bq.key = d.key AND why IS NOT NULL) AS rejected, (SELECT count(*) FROM bq WHERE bq.key = d.key) AS question_like, (SELECT count(*) FROM fd WHERE fd.key = d.key) AS n_findings FROM (SELECT DISTINCT key FROM sl) d)"""
+
+
+@query(f"WITH RECURSIVE {_DOC_STRICT}, {_REPORT} SELECT key AS doc_id, accepted, rejected, question_like, n_findings, accepted > 0 AND n_findings = 0 AS publishable FROM rp")
 def strict_report(spark, sf):
     """Documents as they stand: which would parse."""
     _, _, r = strict.strict_parse(load(spark, sf, "documents"), "doc_id", "text")
     return r
 
 
+@query(f"""WITH RECURSIVE {_DOC_STRICT}, {_REPORT}, al AS (SELECT key, line, {_CODE} AS code, {_SUMMARY} AS summary FROM fd UNION ALL SELECT key, 1, 'QB-STRUCTURE-AMBIGUOUS', 'No supported single-choice questions were found.' FROM rp WHERE accepted = 0 AND n_findings = 0)
+SELECT key AS doc_id, code, CASE code WHEN 'QB-TYPE-UNSUPPORTED' THEN 'blocking' ELSE 'review_required' END AS blocking_level, 'line:' || line AS locator, summary, CASE code WHEN 'QB-TYPE-UNSUPPORTED' THEN 'retain,mark unsupported' ELSE 'correct source,retain,exclude' END AS actions FROM al""")
+def strict_issues(spark, sf):
+    """The issues that the documents would open."""
+    _, f, r = strict.strict_parse(load(spark, sf, "documents"), "doc_id", "text")
+    return strict.parse_issues(f, r, "doc_id").select("doc_id", "code", "blocking_level", "locator", "summary", F.array_join("allowed_user_actions", ",").alias("actions"))
+
+
 _KEYS = "k AS (SELECT DISTINCT entry_id, source_id, question_number, raw_answer, raw_entry FROM answer_key_entries)"
 _STRICT = _re2(E.STRICT_LINE)
 
