@@ -40,21 +40,23 @@ BANK_SCHEMA = {
 
 def bank_rules(bank) -> Iterator[tuple[str, str]]:
     """(path, rule) of what the schema cannot say: ids and labels once each, known sources, relative files, labels by type."""
-    items = lambda x, name: [v for v in (x.get(name) if isinstance(x, dict) and isinstance(x.get(name), list) else []) if isinstance(v, dict)]
+    def items(x, name: str) -> list[tuple[int, dict]]:
+        found = x.get(name) if isinstance(x, dict) else None
+        return [(i, v) for i, v in enumerate(found) if isinstance(v, dict)] if isinstance(found, list) else []
 
-    def repeated(rows: list[dict], field: str, path: str) -> Iterator[tuple[str, str]]:
-        values = [r.get(field) for r in rows if isinstance(r.get(field), str)]
+    def repeated(rows: list[tuple[int, dict]], field: str, path: str) -> Iterator[tuple[str, str]]:
+        values = [r.get(field) for _, r in rows if isinstance(r.get(field), str)]
         return ((path, f"unique {field}") for v, n in Counter(values).items() if n > 1)
 
     sources = items(bank, "sources")
     yield from repeated(sources, "source_id", "$.sources")
-    for i, s in enumerate(sources):
+    for i, s in sources:
         if re.match(r"/|\\\\|[A-Za-z]:[\\/]", str(s.get("source_file"))):
             yield f"$.sources[{i}].source_file", "relative"
-    known = {s.get("source_id") for s in sources if isinstance(s.get("source_id"), str)}
+    known = {s.get("source_id") for _, s in sources if isinstance(s.get("source_id"), str)}
     questions = items(bank, "questions")
     yield from repeated(questions, "question_id", "$.questions")
-    for i, q in enumerate(questions):
+    for i, q in questions:
         path, reference, options = f"$.questions[{i}]", q.get("source_reference"), items(q, "options")
         source = reference.get("source_id") if isinstance(reference, dict) else None
         if isinstance(source, str) and source not in known:
@@ -65,7 +67,7 @@ def bank_rules(bank) -> Iterator[tuple[str, str]]:
                 yield f"{path}.options", "empty"
             continue
         yield from repeated(options, "label", f"{path}.options")
-        yield from ((f"{path}.options[{j}].label", "choice label") for j, o in enumerate(options) if o.get("label") not in ("A", "B", "C", "D", "E"))
+        yield from ((f"{path}.options[{j}].label", "choice label") for j, o in options if o.get("label") not in ("A", "B", "C", "D", "E"))
 
 
 def query(sql: str | None = None):
@@ -78,7 +80,51 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+# path, kinds allowed, members required, members allowed (null: any), rule of the value and its argument
+_Q, _O = "$.questions[]", "$.questions[].options[]"
+_SPEC = [
+    ("$", "o", "schema_version,bank_id,title,questions,sources", "schema_version,bank_id,title,questions,sources", ""), ("$.schema_version", "", "", None, "const"), ("$.bank_id", "s", "", None, "uuid"), ("$.title", "s", "", None, "filled"),
+    ("$.questions", "a", "", None, "items"), (_Q, "o", "question_id,question_revision,question_type,stem,options,source_reference,status", "question_id,question_revision,question_type,stem,options,source_reference,status,chapter,metadata,answer,explanation", ""),
+    (f"{_Q}.question_id", "s", "", None, "uuid"), (f"{_Q}.question_revision", "i", "", None, "positive"), (f"{_Q}.question_type", "", "", None, "single_choice,multiple_choice,true_false"), (f"{_Q}.stem", "s", "", None, ""), (f"{_Q}.status", "s", "", None, ""),
+    (f"{_Q}.options", "a", "", None, ""), (_O, "o", "label,text,source_option_id", "label,text,source_option_id", ""), (f"{_O}.label", "s", "", None, "filled"), (f"{_O}.text", "s", "", None, ""), (f"{_O}.source_option_id", "s", "", None, "uuid"),
+    (f"{_Q}.source_reference", "o", "source_id,locator", None, ""), (f"{_Q}.source_reference.source_id", "s", "", None, "uuid"), (f"{_Q}.source_reference.locator", "s", "", None, "filled"),
+    (f"{_Q}.chapter", "s", "", None, ""), (f"{_Q}.metadata", "o", "", None, ""), (f"{_Q}.explanation", "s", "", None, ""), ("$.sources", "a", "", None, "items"), ("$.sources[]", "o", "source_id,source_file,source_type", "source_id,source_file,source_type", ""),
+    ("$.sources[].source_id", "s", "", None, "uuid"), ("$.sources[].source_file", "s", "", None, "filled"), ("$.sources[].source_type", "", "", None, "pdf,docx,image,text,markdown,structured"),
+]
+_SPEC_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _SPEC)
+_BANK_SQL = f"""WITH v AS MATERIALIZED (SELECT file_no, body FROM raw_banks WHERE body IS NOT NULL AND json_valid(body)),
+t AS MATERIALIZED (SELECT v.file_no, t.key, t.value ->> '$' AS value, t.id, t.parent, t.fullkey, regexp_replace(t.fullkey, '\\[\\d+\\]', '[]', 'g') AS path,
+  CASE t.type WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' WHEN 'VARCHAR' THEN 's' WHEN 'BIGINT' THEN 'i' WHEN 'UBIGINT' THEN 'i' WHEN 'HUGEINT' THEN 'i' WHEN 'UHUGEINT' THEN 'i' WHEN 'NULL' THEN 'n' ELSE 'x' END AS kind FROM v, json_tree(v.body) t),
+sp AS (SELECT * FROM (VALUES {_SPEC_ROWS}) s(path, kinds, needs, knows, rule)),
+m AS (SELECT t.*, sp.kinds, sp.needs, sp.knows, sp.rule FROM t JOIN sp ON sp.path = t.path),
+good AS (SELECT * FROM m WHERE kinds = '' OR kind = kinds),
+ob AS (SELECT file_no, id, fullkey, path, kind FROM t WHERE kind = 'o'),
+ch AS (SELECT o.file_no, o.id AS owner, o.fullkey AS above, o.path AS kin, c.key, c.value, c.kind, c.fullkey FROM ob o JOIN t c ON c.file_no = o.file_no AND c.parent = o.id),
+qs AS (SELECT o.file_no, o.id, o.fullkey, (SELECT any_value(value) FROM ch WHERE ch.file_no = o.file_no AND ch.owner = o.id AND ch.key = 'question_type' AND ch.kind = 's') AS type FROM ob o WHERE path = '{_Q}'),
+r AS (
+  SELECT file_no, '$' AS path, 'json' AS rule FROM raw_banks WHERE body IS NOT NULL AND NOT json_valid(body)
+  UNION ALL SELECT file_no, fullkey, 'type' FROM m WHERE kinds <> '' AND kind <> kinds
+  UNION ALL SELECT g.file_no, g.fullkey || '.' || n, 'required' FROM (SELECT *, unnest(string_split(needs, ',')) AS n FROM good WHERE needs <> '') g WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.file_no = g.file_no AND c.parent = g.id AND c.key = g.n)
+  UNION ALL SELECT g.file_no, g.fullkey || '.' || c.key, 'additionalProperties' FROM good g JOIN t c ON c.file_no = g.file_no AND c.parent = g.id WHERE g.knows IS NOT NULL AND NOT list_contains(string_split(g.knows, ','), c.key)
+  UNION ALL SELECT file_no, fullkey, 'const' FROM good WHERE rule = 'const' AND NOT (kind = 's' AND value = '1.0')
+  UNION ALL SELECT file_no, fullkey, 'pattern' FROM good WHERE rule = 'uuid' AND NOT regexp_full_match(value, '{UUID}')
+  UNION ALL SELECT file_no, fullkey, 'minLength' FROM good WHERE rule = 'filled' AND value = ''
+  UNION ALL SELECT file_no, fullkey, 'minimum' FROM good WHERE rule = 'positive' AND CAST(value AS DOUBLE) < 1
+  UNION ALL SELECT file_no, fullkey, 'enum' FROM good WHERE contains(rule, ',') AND NOT (kind = 's' AND list_contains(string_split(rule, ','), value))
+  UNION ALL SELECT g.file_no, g.fullkey, 'minItems' FROM good g WHERE rule = 'items' AND NOT EXISTS (SELECT 1 FROM t c WHERE c.file_no = g.file_no AND c.parent = g.id)
+  UNION ALL SELECT file_no, '$.sources', 'unique source_id' FROM ch WHERE kin = '$.sources[]' AND key = 'source_id' AND kind = 's' GROUP BY file_no, value HAVING count(*) > 1
+  UNION ALL SELECT file_no, '$.questions', 'unique question_id' FROM ch WHERE kin = '{_Q}' AND key = 'question_id' AND kind = 's' GROUP BY file_no, value HAVING count(*) > 1
+  UNION ALL SELECT file_no, fullkey, 'relative' FROM ch WHERE kin = '$.sources[]' AND key = 'source_file' AND regexp_matches(value, '^(?:/|\\\\\\\\|[A-Za-z]:[\\\\/])')
+  UNION ALL SELECT file_no, fullkey, 'known' FROM ch WHERE kin = '{_Q}.source_reference' AND key = 'source_id' AND kind = 's' AND NOT EXISTS (SELECT 1 FROM ch s WHERE s.file_no = ch.file_no AND s.kin = '$.sources[]' AND s.key = 'source_id' AND s.kind = 's' AND s.value = ch.value)
+  UNION ALL SELECT file_no, regexp_replace(above, '\\[\\d+\\]$', ''), 'unique source_option_id' FROM ch WHERE kin = '{_O}' AND key = 'source_option_id' AND kind = 's' GROUP BY 1, 2, value HAVING count(*) > 1
+  UNION ALL SELECT c.file_no, c.fullkey, 'empty' FROM qs q JOIN ch c ON c.file_no = q.file_no AND c.owner = q.id AND c.key = 'options' WHERE q.type = 'true_false' AND c.kind <> 'n' AND NOT coalesce(c.value IN ('[]', '{{}}', '', 'false', '0'), false)
+  UNION ALL SELECT c.file_no, q.fullkey || '.options', 'unique label' FROM qs q JOIN ch c ON c.file_no = q.file_no AND c.kin = '{_O}' AND starts_with(c.above, q.fullkey || '.options[') AND c.key = 'label' AND c.kind = 's' WHERE q.type IS DISTINCT FROM 'true_false' GROUP BY 1, 2, c.value HAVING count(*) > 1
+  UNION ALL SELECT o.file_no, o.fullkey || '.label', 'choice label' FROM qs q JOIN ob o ON o.file_no = q.file_no AND o.path = '{_O}' AND starts_with(o.fullkey, q.fullkey || '.options[') WHERE q.type IS DISTINCT FROM 'true_false'
+    AND NOT EXISTS (SELECT 1 FROM ch c WHERE c.file_no = o.file_no AND c.owner = o.id AND c.key = 'label' AND c.kind = 's' AND c.value IN ('A', 'B', 'C', 'D', 'E')))
+SELECT file_no, path, rule FROM r"""
+
+
+@query(_BANK_SQL)
 def bank_schema_violations(spark, sf):
     return D.schema_violations(load(spark, sf, "raw_banks"), "file_no", "body", BANK_SCHEMA, also=bank_rules)
 
