@@ -4,62 +4,58 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.functions.text import is_sha256, is_uuid
+from stemloom.session import materialize
 
 
-def _rows(df: DataFrame, condition, code: str, key: str) -> DataFrame:
-    return df.where(condition).select(F.lit(code).alias("code"), F.col(key).alias("record_id"))
+def _broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(code, record_id) of every rule that a row breaks: one pass, no shuffle."""
+    found = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in rules.items()]))
+    return df.select(F.explode(found).alias("code"), F.col(key).alias("record_id"))
 
 
 def bundle_violations(sources: DataFrame, candidates: DataFrame, reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """(code, record_id) of the cross-object rules of candidates, options, reviews, decisions and their evidence.
 
-    Every table is scanned with the columns its rules need; existence rules are anti-joins, ownership one join on the
-    option id, counts are pre-aggregated.  Repeated rows are one record; null references break no existence rule.
+    The candidates are made distinct once; rules of one table, or of one join, are checked together in one pass.  Repeated
+    rows are one record; null references break no existence rule.
     """
+    here = F.lit(True)
     src = sources.select("source_id", "revision").distinct()
-    cand = candidates.select("candidate_id", "candidate_revision", "source_id", "question_type", "status").distinct()
-    opts = candidates.select("candidate_id", F.explode("options").alias("o")).select("candidate_id", F.col("o.option_id").alias("option_id"), F.col("o.candidate_id").alias("owner"), F.col("o.source_ref.source_id").alias("source_id")).distinct()
+    known = src.select("source_id").distinct().withColumn("known", here)
+    cand = materialize(candidates.select("candidate_id", "candidate_revision", "source_id", "question_type", "status").distinct())
+    opts = materialize(candidates.select("candidate_id", F.explode("options").alias("o")).select("candidate_id", F.col("o.option_id").alias("option_id"), F.col("o.candidate_id").alias("owner"), F.col("o.source_ref.source_id").alias("source_id")).distinct())
     dec = decisions.select("decision_id", "candidate_id", "candidate_revision", "decision_type", "value", "evidence", "status").distinct()
     rev = reviews.select("review_id", "candidate_id").distinct()
-    ids = cand.select("candidate_id").distinct()
-    known = src.select("source_id").distinct()
+    # the candidates of one id: their number and, for the references, that there are any
+    ids = cand.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    owners = opts.groupBy("option_id").agg(F.max("candidate_id").alias("owner"), (F.min("candidate_id") != F.max("candidate_id")).alias("shared"))
+    lost = F.col("known").isNull() & F.col("source_id").isNotNull()
     out = [
-        cand.groupBy("candidate_id").count().where("count > 1").select(F.lit("QB-CANDIDATE-ID-DUPLICATE").alias("code"), F.col("candidate_id").alias("record_id")),
-        _rows(cand.where("source_id IS NOT NULL").join(known, "source_id", "left_anti"), F.lit(True), "QB-SOURCE-REFERENCE-MISSING", "candidate_id"),
-        _rows(opts.where("source_id IS NOT NULL").join(known, "source_id", "left_anti"), F.lit(True), "QB-SOURCE-REFERENCE-MISSING", "option_id"),
-        _rows(opts, F.col("owner") != F.col("candidate_id"), "QB-OPTION-OWNERSHIP-INVALID", "option_id"),
-        opts.groupBy("option_id").agg(F.countDistinct("candidate_id").alias("n")).where("n > 1").select(F.lit("QB-OPTION-ID-DUPLICATE").alias("code"), F.col("option_id").alias("record_id")),
-        _rows(rev.where("candidate_id IS NOT NULL").join(ids, "candidate_id", "left_anti"), F.lit(True), "QB-CANDIDATE-REFERENCE-MISSING", "review_id"),
-        _rows(dec.where("candidate_id IS NOT NULL").join(ids, "candidate_id", "left_anti"), F.lit(True), "QB-CANDIDATE-REFERENCE-MISSING", "decision_id"),
+        _broken(ids, "candidate_id", {"QB-CANDIDATE-ID-DUPLICATE": F.col("n") > 1}),
+        _broken(cand.join(known, "source_id", "left"), "candidate_id", {"QB-SOURCE-REFERENCE-MISSING": lost}),
+        _broken(opts.join(known, "source_id", "left"), "option_id", {"QB-SOURCE-REFERENCE-MISSING": lost, "QB-OPTION-OWNERSHIP-INVALID": F.col("owner") != F.col("candidate_id")}),
+        _broken(owners, "option_id", {"QB-OPTION-ID-DUPLICATE": F.col("shared")}),
+        _broken(rev.join(ids, "candidate_id", "left"), "review_id", {"QB-CANDIDATE-REFERENCE-MISSING": F.col("n").isNull() & F.col("candidate_id").isNotNull()}),
     ]
-    j = dec.join(cand.select("candidate_id", F.col("candidate_revision").alias("now"), "question_type"), "candidate_id")
-    out.append(_rows(j, F.col("candidate_revision") != F.col("now"), "QB-DECISION-REVISION-STALE", "decision_id"))
-    ev = j.select("decision_id", F.explode("evidence").alias("e")).select("decision_id", "e.source_id", "e.source_revision").distinct().join(src, "source_id", "left")
-    out += [
-        _rows(ev, F.col("revision").isNull(), "QB-EVIDENCE-REFERENCE-MISSING", "decision_id").distinct(),
-        _rows(ev, F.col("source_revision") > F.col("revision"), "QB-EVIDENCE-REVISION-INVALID", "decision_id").distinct(),
-    ]
-    a = j.where("decision_type = 'answer_resolution'")
-    resolved = F.col("value.resolved_option_ids")
-    judged = F.col("question_type") == "true_false"
-    out += [
-        _rows(a, judged & (F.col("value.boolean_value").isNull() | F.col("value.source_lexeme").isNull()), "QB-TRUE-FALSE-VALUE-INVALID", "decision_id"),
-        _rows(a, ~judged & resolved.isNull(), "QB-ANSWER-SHAPE-INVALID", "decision_id"),
-        _rows(a, ((F.col("question_type") == "single_choice") & (F.size(resolved) != 1) & resolved.isNotNull()) | ((F.col("question_type") == "multiple_choice") & resolved.isNotNull() & ((F.size(resolved) < 2) | (F.size(F.array_distinct(resolved)) != F.size(resolved)))), "QB-ANSWER-CARDINALITY-INVALID", "decision_id"),
-    ]
-    picks = a.where(~judged).select("decision_id", "candidate_id", F.explode(resolved).alias("option_id")).distinct()
-    owners = opts.groupBy("option_id").agg(F.max("candidate_id").alias("owner"))
-    p = picks.join(owners, "option_id", "left")
-    out += [
-        _rows(p, F.col("owner").isNull(), "QB-OPTION-REFERENCE-MISSING", "decision_id").distinct(),
-        _rows(p, F.col("owner") != F.col("candidate_id"), "QB-OPTION-OWNERSHIP-INVALID", "decision_id").distinct(),
-    ]
-    valid = a.where("status = 'valid' AND candidate_revision = now").select("candidate_id").distinct()
-    out.append(_rows(cand.where("status = 'validated'").join(valid, "candidate_id", "left_anti"), F.lit(True), "QB-VALIDATED-GATE-FAILED", "candidate_id"))
+    j = materialize(dec.join(cand.select("candidate_id", F.col("candidate_revision").alias("now"), "question_type", here.alias("there")), "candidate_id", "left"))
+    resolved, judged, found = F.col("value.resolved_option_ids"), F.col("question_type") == "true_false", F.col("there").isNotNull()
+    answer = found & (F.col("decision_type") == "answer_resolution")
+    one, many = F.col("question_type") == "single_choice", F.col("question_type") == "multiple_choice"
+    out.append(_broken(j, "decision_id", {
+        "QB-CANDIDATE-REFERENCE-MISSING": ~found & F.col("candidate_id").isNotNull(), "QB-DECISION-REVISION-STALE": found & (F.col("candidate_revision") != F.col("now")),
+        "QB-TRUE-FALSE-VALUE-INVALID": answer & judged & (F.col("value.boolean_value").isNull() | F.col("value.source_lexeme").isNull()), "QB-ANSWER-SHAPE-INVALID": answer & ~judged & resolved.isNull(),
+        "QB-ANSWER-CARDINALITY-INVALID": answer & resolved.isNotNull() & ((one & (F.size(resolved) != 1)) | (many & ((F.size(resolved) < 2) | (F.size(F.array_distinct(resolved)) != F.size(resolved))))),
+    }))
+    ev = j.where(found).select("decision_id", F.explode("evidence").alias("e")).select("decision_id", "e.source_id", "e.source_revision").distinct().join(src, "source_id", "left")
+    out.append(_broken(ev, "decision_id", {"QB-EVIDENCE-REFERENCE-MISSING": F.col("revision").isNull(), "QB-EVIDENCE-REVISION-INVALID": F.col("source_revision") > F.col("revision")}).distinct())
+    picks = j.where(answer & ~judged).select("decision_id", "candidate_id", F.explode(resolved).alias("option_id")).distinct().join(owners, "option_id", "left")
+    out.append(_broken(picks, "decision_id", {"QB-OPTION-REFERENCE-MISSING": F.col("owner").isNull(), "QB-OPTION-OWNERSHIP-INVALID": F.col("owner") != F.col("candidate_id")}).distinct())
+    valid = j.where(answer & (F.col("status") == "valid") & (F.col("candidate_revision") == F.col("now"))).select("candidate_id").distinct().withColumn("valid", here)
+    out.append(_broken(cand.where("status = 'validated'").join(valid, "candidate_id", "left"), "candidate_id", {"QB-VALIDATED-GATE-FAILED": F.col("valid").isNull()}))
     return reduce(DataFrame.unionByName, out)
 
 
