@@ -180,7 +180,8 @@ class FragmentEncoder:
             row = stop
 
     def _long(self, data: np.ndarray, count_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        """One long text, cut before a blank between two ASCII letters: pieces begin there whatever stands around."""
+        """One long text, cut where a piece of the pattern begins whatever stands around: before a blank between two ASCII
+        letters, and between an ideograph and a full stop or comma."""
         raw = data.tobytes()
         cuts = [0]
         while len(raw) - cuts[-1] > 2 * CHUNK:
@@ -192,7 +193,8 @@ class FragmentEncoder:
         return np.concatenate([p[0] for p in parts]), np.array([0, sum(int(p[1][-1]) for p in parts)], np.int64)
 
 
-_CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])")
+#: In UTF-8: an ASCII letter before a blank and a letter; an ideograph (U+5000 to U+9FFF) before U+3002 or U+FF0C.
+_CUT = re.compile(rb"[A-Za-z](?= [A-Za-z])|[\xe5-\xe9][\x80-\xbf][\x80-\xbf](?=\xe3\x80\x82|\xef\xbc\x8c)")
 
 
 @lru_cache(2)

@@ -88,3 +88,17 @@ def test_ids_give_the_texts_back(spark):
     assert [r.text for r in decode_ids(lists, "k", "ids").collect()] == ["", ""] and decode_ids(lists.limit(0), "k", "ids").count() == 0
     with pytest.raises(Exception, match="not in the vocabulary"):
         decode_ids(spark.createDataFrame([(1, [10**7])], "k long, ids array<int>"), "k", "ids").collect()
+
+
+@pytest.mark.parametrize("text", ["早期的骨帆肽信号，误将样本写成韧沟波。" * 90, "plain words without an end " * 90, "早期的骨帆肽信号" * 200, "，。" * 500 + "甲，" * 300 + " x，。y" * 100])
+def test_long_texts_are_cut_where_pieces_begin(mine, monkeypatch, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole, _ = mine.encode(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(bpe, "CHUNK", 200)
+    ids, off = mine._long(raw, False)
+    assert ids.tolist() == whole.tolist() and off.tolist() == [0, len(whole)]
+    parts = []
+    monkeypatch.setattr(mine, "encode", lambda data, o, c: parts.append(len(data)) or (np.zeros(0, np.int32), np.array([0, 0])))
+    mine._long(raw, True)
+    if "，误将" in text or "words" in text:
+        assert max(parts) < 800 and len(parts) > 5
