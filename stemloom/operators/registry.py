@@ -110,3 +110,19 @@ def ancestry(snapshots: DataFrame, key: str, parent: str) -> DataFrame:
 def _further(paths: DataFrame, jump: DataFrame) -> DataFrame:
     """Each path lengthened by the jump from its end."""
     return paths.alias("p").join(jump.alias("j"), F.col("p.ancestor") == F.col("j.key")).select(F.col("p.key"), F.col("j.ancestor"), (F.col("p.distance") + F.col("j.distance")).alias("distance"))
+
+
+def chain_faults(snapshots: DataFrame, key: str, parent: str, generation: str, digest: str, parent_digest: str) -> DataFrame:
+    """(key, fault) of snapshots that do not continue their parent: 'parent' (there is none of that key), 'generation' (not one more
+    than the parent's; roots have 1), 'digest' (parent_digest is not the parent's digest).
+
+    Without a fault there is no cycle, since generations rise along every link.  Keys are taken as unique.
+    """
+    up = snapshots.select(F.col(key).alias(parent), F.col(generation).alias("_g"), F.col(digest).alias("_d"), F.lit(True).alias("_there"))
+    j = snapshots.join(up, parent, "left")
+    root = F.col(parent).isNull()
+    faults = F.array_compact(F.array(
+        F.when(~root & F.col("_there").isNull(), F.lit("parent")), F.when(F.col(generation) != F.when(root, F.lit(1)).otherwise(F.col("_g") + 1), F.lit("generation")),
+        F.when(~root & F.col("_there") & ~F.col(parent_digest).eqNullSafe(F.col("_d")), F.lit("digest")),
+    ))
+    return j.select(key, F.explode(faults).alias("fault"))

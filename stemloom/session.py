@@ -51,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder for a table of this process, removed as materialize says."""
+    path = f"{shared_dir(spark).rstrip('/')}/stemloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -58,8 +65,7 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     when the block of a surrounding `scratch()` ends, else when the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stemloom-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_folder(spark)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
