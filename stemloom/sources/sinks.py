@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,25 @@ def write_csv_file(rows: DataFrame, path: str, header: tuple[str, ...], order: s
     """One local CSV file, written beside its place and moved there in one step; rows are streamed in order."""
     import csv
 
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, temp = tempfile.mkstemp(dir=folder, suffix=".tmp")
+    def fill(f) -> None:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(header)
+        for r in rows.orderBy(order).toLocalIterator():
+            w.writerow(["" if v is None else v for v in r])
+
+    _replace(path, fill)
+
+
+def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
+    df.write.option("ignoreNullFields", not keep_nulls).json(path)
+
+
+def _replace(path: str, fill: Callable) -> None:
+    """A local text file written beside its place by `fill`, synced and moved there in one step."""
+    handle, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     try:
         with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
-            w = csv.writer(f, lineterminator="\n")
-            w.writerow(header)
-            for r in rows.orderBy(order).toLocalIterator():
-                w.writerow(["" if v is None else v for v in r])
+            fill(f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(temp, path)
@@ -40,14 +52,19 @@ def write_csv_file(rows: DataFrame, path: str, header: tuple[str, ...], order: s
         raise
 
 
-def write_json_lines(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
-    df.write.option("ignoreNullFields", not keep_nulls).json(path)
+def indented_json(value) -> str:
+    """The workspace form of a document: sorted members, two blanks of indent, a final line break."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False) + "\n"
 
 
 def bank_document(questions: DataFrame, bank: dict, path: str) -> None:
-    """One bank as a JSON document with two-space indent, questions in `position` order, streamed from the executors."""
+    """One bank as a JSON document with two-space indent, questions in `position` order, streamed from the executors.
+
+    The file is there whole or not at all.
+    """
     fields = [c for c in questions.columns if c != "position"]
-    with open(path, "w", encoding="utf-8") as f:
+
+    def fill(f) -> None:
         head = json.dumps(bank, ensure_ascii=False, indent=2)
         f.write(head[: head.rindex("}")].rstrip() + (",\n" if bank else "\n") + '  "questions": [')
         first = True
@@ -57,6 +74,8 @@ def bank_document(questions: DataFrame, bank: dict, path: str) -> None:
             first = False
         f.write(("]" if first else "\n  ]") + "\n}\n")
 
+    _replace(path, fill)
+
 
 def write_once(df: DataFrame, path: str, key: list[str]) -> bool:
     """Write a table that may not change: False if the same rows are there already, an error if others are."""

@@ -158,6 +158,11 @@ def test_sinks(spark, tmp_path):
     assert text == json.dumps({"schema_version": "1.0", "questions": [{"stem": "a"}, {"stem": "b"}]}, indent=2) + "\n"
     sinks.bank_document(df.limit(0), {"v": 1}, str(tmp_path / "none.json"))
     assert json.loads((tmp_path / "none.json").read_text()) == {"v": 1, "questions": []}
+    bad = df.withColumn("stem", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        sinks.bank_document(bad, {"schema_version": "2.0"}, str(tmp_path / "bank.json"))
+    assert (tmp_path / "bank.json").read_text() == text and not list(tmp_path.glob("*.tmp"))
+    assert sinks.indented_json({"b": ["é"], "a": None}) == '{\n  "a": null,\n  "b": [\n    "é"\n  ]\n}\n'
     path = str(tmp_path / "t")
     assert sinks.write_once(df, path, ["position"]) and not sinks.write_once(df, path, ["position"])
     with pytest.raises(ValueError):
