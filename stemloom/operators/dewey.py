@@ -268,7 +268,7 @@ def question_children(banks: DataFrame, key: str = "file_no", body: str = "body"
     """Options, locators and notes of bank documents: key, child_kind, question_pos, child_pos, child_key.
 
     Questions are the objects in `questions` and in `sections[].questions`, numbered by label over the whole document.
-    One shuffle by document, one sort; the widest group is one document.
+    A repeated row counts once.  One shuffle by document and one sort; the widest group is one document.
     """
     nodes = dewey_nodes(banks, key, body, {"qbc_extraction_notes": ("text", "items")}, CHILDREN)
     path, label, kind, value = (F.col(c) for c in ("schema_path", "label", "kind", "value"))
@@ -289,13 +289,15 @@ def question_children(banks: DataFrame, key: str = "file_no", body: str = "body"
     own = F.when(F.col("part") == "label", parent_label(label)).otherwise(label)
     text = F.when(F.col("part") == "member", F.col("name")).when(F.col("part").isin("label", "locator", "note"), value)
     child_kind = F.when(F.col("part").isin("element", "label", "member"), F.lit("option")).otherwise(F.col("part"))
-    rows = q.select(key, "question", own.alias("own"), child_kind.alias("child_kind"), text.alias("text"))
-    rows = rows.repartition(F.col(key)).groupBy(key, "question", "own", "child_kind").agg(F.coalesce(F.max("text"), F.lit("")).alias("child_key"))
-    by = Window.partitionBy(key).orderBy("question", "own", "child_kind").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.lag("question").over(Window.partitionBy(key).orderBy("question", "own", "child_kind"))
-    rows = rows.withColumn("fresh", (~before.eqNullSafe(F.col("question"))).cast("int"))
-    rows = rows.withColumn("question_pos", F.sum("fresh").over(by))
-    within = Window.partitionBy(key, "question").orderBy("own", "child_kind").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.coalesce(*[F.when(F.col("child_kind") == k, F.count(F.when(F.col("child_kind") == k, 1)).over(within)) for k in ("option", "locator", "note")])
-    rows = rows.withColumn("child_pos", at).where(F.col("child_kind") != "question")
+    rows = q.select(key, "question", own.alias("own"), (F.col("part") == "label").cast("int").alias("rank"), child_kind.alias("child_kind"), text.alias("text")).repartition(F.col(key))
+    # one order serves all that follows: a label stands right after its element, equal rows of a repeated document together
+    by = Window.partitionBy(key).orderBy("question", "own", "rank")
+    rows = rows.withColumns({"next_own": F.lead("own").over(by), "next_rank": F.lead("rank").over(by), "next_text": F.lead("text").over(by)})
+    again = F.col("next_own").eqNullSafe(F.col("own")) & (F.col("next_rank") == F.col("rank"))
+    named = F.when(F.col("next_own") == F.col("own"), F.col("next_text"))
+    rows = rows.where((F.col("rank") == 0) & ~F.coalesce(again, F.lit(False))).withColumn("child_key", F.coalesce("text", named, F.lit("")))
+    rows = rows.withColumn("question_pos", F.count(F.when(F.col("child_kind") == "question", 1)).over(by))
+    within = Window.partitionBy(key, "question").orderBy("own", "rank")
+    counts = [F.when(F.col("child_kind") == k, F.count(F.when(F.col("child_kind") == k, 1)).over(within)) for k in ("option", "locator", "note")]
+    rows = rows.withColumn("child_pos", F.coalesce(*counts)).where(F.col("child_kind") != "question")
     return rows.select(key, "child_kind", F.col("question_pos").cast("int"), F.col("child_pos").cast("int"), "child_key")

@@ -89,6 +89,13 @@ def test_shapes(spark):
     ])
 
 
+def test_a_repeated_row_counts_once(spark):
+    body = '{"questions": [{"options": [{"label": "A"}, {"label": "B"}, {}], "source_reference": {"locator": ["x", "x"]}}, {"options": {"C": 1}}]}'
+    one = spark.createDataFrame([(1, body)], "file_no long, body string")
+    want = sorted(tuple(r) for r in question_children(one).collect())
+    assert sorted(tuple(r) for r in question_children(one.union(one).union(one)).collect()) == want and len(want) == 6
+
+
 def test_deep_and_long_documents(spark):
     deep = "[" * 30_000 + "]" * 30_000
     assert parse_document(deep)[0]
