@@ -29,9 +29,10 @@ def _answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     keys, rows = _answers(spark, sf)
-    a = split_packed(keys, "source_id", "entry_id", "raw_answer").select(F.lit("answer_key_entries").alias("origin"), F.col("key").alias("record_id"), "pos", "val")
-    b = split_packed(rows, "source", "csv_row_id", "correct_answer").select(F.lit("standard_bank_rows").alias("origin"), F.col("key").alias("record_id"), "pos", "val")
-    return a.unionByName(b)
+    # both tables in one pass; the table is part of the name of a source
+    a = keys.select(F.concat_ws("\u001f", F.lit("answer_key_entries"), "source_id").alias("source"), F.col("entry_id").alias("id"), F.col("raw_answer").alias("raw"))
+    b = rows.select("source", F.col("csv_row_id").alias("id"), F.col("correct_answer").alias("raw"))
+    return split_packed(a.unionByName(b), "source", "id", "raw").select(F.substring_index("source", "\u001f", 1).alias("origin"), F.col("key").alias("record_id"), "pos", "val")
 
 
 def p3_delimiters(spark: SparkSession, sf: str) -> DataFrame:
