@@ -129,7 +129,19 @@ def bank_schema_violations(spark, sf):
     return D.schema_violations(load(spark, sf, "raw_banks"), "file_no", "body", BANK_SCHEMA, also=bank_rules)
 
 
-@query()
+def _canonical_sql(levels: int = 24) -> str:
+    """The canonical form built from the deepest level up; `levels` is more than any document of the tables nests."""
+    leaf = "CASE kind WHEN 's' THEN CAST(to_json(value) AS VARCHAR) WHEN 'n' THEN 'null' ELSE value END"
+    parts = [f"c{levels} AS (SELECT file_no, id, parent, key, {leaf} AS canon FROM d WHERE depth = {levels})"]
+    for n in range(levels - 1, -1, -1):
+        parts.append(f"""g{n} AS (SELECT file_no, parent, string_agg(canon, ',' ORDER BY id) AS listed, string_agg(CAST(to_json(key) AS VARCHAR) || ':' || canon, ',' ORDER BY key) AS named FROM c{n + 1} GROUP BY 1, 2),
+c{n} AS (SELECT d.file_no, d.id, d.parent, d.key, CASE kind WHEN 'o' THEN '{{' || coalesce(named, '') || '}}' WHEN 'a' THEN '[' || coalesce(listed, '') || ']' ELSE {leaf} END AS canon FROM d LEFT JOIN g{n} g ON g.file_no = d.file_no AND g.parent = d.id WHERE depth = {n})""")
+    tree = _BANK_SQL[: _BANK_SQL.index("sp AS (")].replace("WITH v", "WITH RECURSIVE v")
+    return f"""{tree} d AS MATERIALIZED (SELECT file_no, id, parent, key, value, kind, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.file_no, t.id, t.parent, t.key, t.value, t.kind, d.depth + 1 FROM d JOIN t ON t.file_no = d.file_no AND t.parent = d.id),
+{", ".join(parts)} SELECT b.file_no, sha256(c0.canon) AS digest FROM raw_banks b LEFT JOIN c0 ON c0.file_no = b.file_no"""
+
+
+@query(_canonical_sql())
 def bank_digests(spark, sf):
     return load(spark, sf, "raw_banks").select("file_no", D.json_digest(F.col("body")).alias("digest"))
 
