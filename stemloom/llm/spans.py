@@ -7,8 +7,10 @@
    fit in memory.
 3. A group's suffixes are sorted to depth `length` by prefix doubling, which is the level of the group's suffix tree at
    that depth: suffixes with one rank lie below one node.  Nodes with leaves of two records mark shared runs.
-4. A prefix that very many stretches share is lengthened to the whole run, which then is a group of its own: runs are
-   brought together by the SHA-256 of their text through pre-aggregated counts, so no task ever holds them together.
+4. A prefix that very many stretches share is lengthened to both sides as far as every run allows, (length + k) / 2 code
+   points, and its stretches are grouped anew.  What is still shared by very many is lengthened to the whole run, which
+   then is a group of its own: such runs are brought together by the SHA-256 of their text through pre-aggregated counts,
+   so no task ever holds them together.
 """
 
 from __future__ import annotations
@@ -126,6 +128,31 @@ def stretches(df: DataFrame, key: str, text: str, length: int, gram: int) -> Dat
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def lengthened(points: np.ndarray, off: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches under longer prefixes: (hash, stretch, first run, last run), runs counted from the start of the stretch.
+
+    A run that has enough text from the anchor on is known by the code points there, any other by as many up to the
+    anchor's end; since runs of the same content have the anchor at the same place, they fall to the same side.
+    """
+    wide = (length + gram) // 2
+    many = np.diff(off) - length + 1  # runs of each stretch
+    row = np.repeat(np.arange(len(h)), np.diff(off))
+    place = np.arange(len(points)) - off[row]
+    found = gram_hashes(points, gram)
+    # the anchor is the first k-gram of that hash which lies in every run of the stretch
+    hit = np.flatnonzero((found == h[row[: len(found)]]) & (place[: len(found)] >= many[row[: len(found)]] - 1) & (place[: len(found)] <= length - gram))
+    _, first = np.unique(row[hit], return_index=True)
+    at = many - 1
+    at[row[hit[first]]] = place[hit[first]]
+    split = np.clip(at - (length - wide), 0, many)  # runs before it have too little text behind the anchor
+    long = gram_hashes(points, wide)
+    right, left = split < many, split > 0
+    key_right = mix(long[(off[:-1] + at)[right]] ^ np.uint64(0x9E3779B97F4A7C15))
+    key_left = mix(long[(off[:-1] + at + gram - wide)[left]] ^ np.uint64(0xD1B54A32D192ED03))
+    who = np.arange(len(h))
+    return np.concatenate([key_right, key_left]), np.concatenate([who[right], who[left]]), np.concatenate([split[right], np.zeros(left.sum(), np.int64)]), np.concatenate([many[right] - 1, split[left] - 1])
+
+
 def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The rank of each pair among the different pairs (from 0, in order).
 
@@ -218,6 +245,20 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     bodies = materialize(bodies)
     n = bodies.count()
 
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                points, off = to_codepoints(part.column(3))
+                h, row, first, last = lengthened(points, off, part.column(0).to_numpy().view(np.uint64), length, gram)
+                body, at = gather(points, off[row] + first, last - first + length)
+                lo = part.column(2).to_numpy()[row] + first
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(1).take(pa.array(row)), pa.array(lo.astype(np.int32)), to_arrow(body, at).cast(pa.string())], names=["h", "k", "lo", "body"])
+
+    # stretches of hot prefixes under longer ones; what one record has alone goes, what is still hot is told apart
+    again = materialize(bodies.where("hot").select("h", "k", "lo", "body").mapInArrow(longer, f"h bigint, k {kind}, lo int, body string"))
+    often = again.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n")
+    again = join_groups(again, often, ["h"], "n", 2 * n).select("k", "lo", "body", "h", (F.col("n") > HOT).alias("hot"))
+
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
@@ -235,7 +276,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
     spans_schema = f"k {kind}, s int, e int"
     groups = max(1, -(-n // GROUP))
-    cold = bodies.where("NOT hot").select("h", "k", "lo", "body").repartition(groups, "h").mapInArrow(tree, spans_schema)
+    cold = bodies.where("NOT hot").select("h", "k", "lo", "body").unionByName(again.where("NOT hot").select("h", "k", "lo", "body"))
+    cold = cold.repartition(groups, "h").mapInArrow(tree, spans_schema)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,7 +290,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
                 run = [sha256(text[4 * i : 4 * (i + length)]).digest() for i in (off[record] + step).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(run, pa.binary()), part.column(0).take(pa.array(record)), pa.array((part.column(1).to_numpy()[record] + step).astype(np.int32))], names=["run", "k", "s"])
 
-    runs = bodies.where("hot").select("k", "lo", "body").mapInArrow(expand, f"run binary, k {kind}, s int")
+    runs = again.where("hot").select("k", "lo", "body").mapInArrow(expand, f"run binary, k {kind}, s int")
     both = runs.groupBy("run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n")
     warm = join_groups(runs, both, ["run"], "n", n * (length - gram + 1)).select("k", "s", (F.col("s") + length).alias("e"))
     return merge_spans(cold.unionByName(warm), key)

@@ -56,7 +56,7 @@ def made(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot, chunk", [(20_000, 1 << 19), (5, 300)])
+@pytest.mark.parametrize("hot, chunk", [(20_000, 1 << 19), (5, 300), (60, 1 << 19), (1, 1 << 19)])
 def test_made_texts(spark, monkeypatch, seed, hot, chunk):
     """With repeats inside a text, periodic texts, lengthened prefixes and texts longer than a chunk."""
     monkeypatch.setattr(spans, "HOT", hot)
@@ -68,6 +68,30 @@ def test_made_texts(spark, monkeypatch, seed, hot, chunk):
         check_parts(rows, chunk)
 
 
+def test_longer_prefixes_keep_equal_runs_together():
+    """Every run of a stretch goes to one longer prefix, and equal runs to the same."""
+    from stemloom.llm.codepoints import to_codepoints
+    import pyarrow as pa
+
+    texts = [t for _, t in made(5) if t and len(t) >= 40]
+    keys: dict[str, set] = defaultdict(set)
+    n_keys = set()
+    for t in texts:
+        points, _ = to_codepoints(pa.array([t]))
+        h, part, lo, hi, _ = spans.anchors(points, np.array([0]), 40, 12)
+        bodies = [t[a : b + 40] for a, b in zip(lo, hi)]
+        p, off = to_codepoints(pa.array(bodies))
+        key, row, first, last = spans.lengthened(p, off, h.view(np.uint64), 40, 12)
+        seen = defaultdict(int)
+        for k, r, a, b in zip(key.tolist(), row, first, last):
+            n_keys.add(k)
+            for s in range(a, b + 1):
+                keys[bodies[r][s : s + 40]].add((int(h[r]), k))
+                seen[r, s] += 1
+        assert set(seen.values()) == {1} and len(seen) == sum(len(x) - 39 for x in bodies)
+    assert all(len(x) == 1 for x in keys.values()) and len(n_keys) > 10
+
+
 def check_parts(rows, chunk):
     """The parts of a long row cover each run exactly once."""
     from stemloom.llm.codepoints import to_codepoints
