@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions.answers import LABELS, choice_label, multiple_choice, multiple_choice_list, true_false, type_name
 from stemloom.functions.text import strip
+from stemloom.session import materialize
 
 # The external header, in order.
 HEADER = ("全局序号", "试卷/章节", "题型", "题干", "A", "B", "C", "D", "E", "正确答案", "解析")
@@ -67,15 +68,18 @@ def rejected_rows(df: DataFrame) -> DataFrame:
     return df.select("question_id", "question_type", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range-partitioned by `order`, written with the number of their partition in `_part`; partitions follow the order."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Global row numbers (bigint) in the given order without a single-task window.
 
     Rows are range-partitioned by `order`; the counts of the partitions (one small row each) give each its offset.
     """
-    from stemloom.session import materialize
-
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    parts = _ranges(df, order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     w = Window.partitionBy("_part").orderBy(*order)
@@ -83,6 +87,25 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_n", "_before", "_row")
 
 
+def nearest(df: DataFrame, order: list[str], value: str, before: str, after: str) -> DataFrame:
+    """The nearest non-null `value` before and after each row in a global order, again without a single-task window.
+
+    Inside a range partition by windows; across partitions the last and first values of each (one small row a partition)
+    are carried over.  `order` must not have ties.
+    """
+    parts = _ranges(df, order)
+    w = Window.partitionBy("_part").orderBy(*order)
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = parts.groupBy("_part").agg(F.max_by(value, place).alias("_last"), F.min_by(value, place).alias("_first"))
+    every = Window.orderBy("_part")
+    carried = ends.select(
+        "_part", F.last("_last", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_to")
+    )
+    out = parts.withColumns({"_b": F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_a": F.first(value, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    out = out.join(F.broadcast(carried), "_part").withColumns({before: F.coalesce("_b", "_from"), after: F.coalesce("_a", "_to")})
+    return out.drop("_part", "_b", "_a", "_from", "_to")
+
+
 def grade(df: DataFrame, key_answer: str, response: str, kind: str) -> DataFrame:
     """Add is_correct: null without a key; multiple-choice answers compare as sets of labels."""
     as_set = lambda c: F.array_sort(F.array_distinct(F.split(F.upper(F.regexp_replace(c, r"[\s,;|/]", "")), "")))

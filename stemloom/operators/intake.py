@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions.answers import LABELS
 from stemloom.functions.text import stable_id, strip
+from stemloom.operators.export import nearest, number_rows
 
 TYPES = ("single_choice", "multiple_choice", "true_false")
 
@@ -85,6 +86,32 @@ def match_rescan(old: DataFrame, new: DataFrame, passes: list[list[str]], old_id
     return reduce(DataFrame.unionByName, out)
 
 
+def match_by_order(old: DataFrame, new: DataFrame, matched: DataFrame, source: str, order: str, old_id: str, new_id: str) -> DataFrame:
+    """Records that equal keys could not match, by their place between matched neighbours: (old_id, new_id, size).
+
+    matched: (old_id, new_id) found so far.  The unmatched records between two neighbouring matched ones of a source (or
+    its start or end) are a gap; where the gap between the same two has as many records on both sides, they are matched in
+    order: size 1 by their neighbours alone, more by local order.  Order is by `order`, then id, nulls first.
+
+    Neighbours and places come from range partitions of the whole tables, so a source of any size is spread over tasks.
+    """
+    ends = lambda d: d.select(F.col(source).alias("s")).distinct().select("s", F.explode(F.array(F.lit(0), F.lit(2))).alias("e"))
+
+    def placed(d: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+        rows = d.select(F.col(source).alias("s"), F.lit(1).alias("e"), F.col(order).alias("o"), F.col(key).alias("id")).join(pairs, "id", "left")
+        # the start and the end of a source match those of the same source
+        mark = F.concat_ws("\u001f", F.lit("end"), "s", F.col("e").cast("string"))
+        rows = rows.unionByName(ends(d).select("s", "e", F.lit(None).cast(d.schema[order].dataType).alias("o"), F.lit(None).cast("string").alias("id"), mark.alias("mate")))
+        keys = ["s", "e", "o", "id"]
+        rows = number_rows(rows.withColumns({"s": F.coalesce("s", F.lit(""))}), keys, "n").withColumn("anchor", F.when(F.col("mate").isNotNull(), F.struct("mate", "n")))
+        rows = nearest(rows, ["n"], "anchor", "before", "after").where("mate IS NULL")
+        return rows.select("id", F.col("before.mate").alias("b"), F.col("after.mate").alias("a"), (F.col("n") - F.col("before.n")).alias("place"), (F.col("after.n") - F.col("before.n") - 1).alias("size"))
+
+    x = placed(old, old_id, matched.select(F.col("old_id").alias("id"), F.col("new_id").alias("mate")))
+    y = placed(new, new_id, matched.select(F.col("new_id").alias("id"), F.col("new_id").alias("mate")))
+    return x.withColumnRenamed("id", "old_id").join(y.withColumnRenamed("id", "new_id"), ["b", "a", "place", "size"]).select("old_id", "new_id", "size")
+
+
 def option_order_violations(candidates: DataFrame) -> DataFrame:
     """Candidates whose options are not at positions 1, 2, 3... with labels A, B, C... in place."""
     o = F.col("options")

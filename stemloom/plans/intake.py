@@ -6,12 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemloom.functions import documents as D
 from stemloom.operators import intake as I
 from stemloom.plans.curation import _strip
-from stemloom.session import load
+from stemloom.session import load, materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -201,14 +202,33 @@ o3 AS (SELECT * FROM o2 WHERE candidate_id NOT IN (SELECT old_id FROM m2)), w3 A
 m3 AS (SELECT old_id, new_id FROM (SELECT min(candidate_id) AS old_id, source_id, locator FROM o3 WHERE source_id IS NOT NULL AND locator IS NOT NULL GROUP BY 2, 3 HAVING count(*) = 1) JOIN (SELECT min(new_id) AS new_id, source_id, locator FROM w3 WHERE source_id IS NOT NULL AND locator IS NOT NULL GROUP BY 2, 3 HAVING count(*) = 1) USING (source_id, locator))"""
 
 
-@query(f"WITH {_RESCAN} SELECT old_id, new_id, 1 AS pass FROM m1 UNION ALL SELECT old_id, new_id, 2 FROM m2 UNION ALL SELECT old_id, new_id, 3 FROM m3")
-def rescan_matches(spark, sf):
-    """Candidates against a derived later scan: archived ones gone, some fingerprints changed by their first digit."""
+def _rescan(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Candidates and a derived later scan: archived ones gone, some fingerprints changed by their first digit."""
     c = load(spark, sf, "candidates").select("candidate_id", "source_id", "locator", "fingerprints", "archived_at").distinct()
     c = c.select("candidate_id", "source_id", "locator", F.col("fingerprints.content_revision_fingerprint").alias("rev"), F.col("fingerprints.stem_fingerprint").alias("stem_fp"), F.col("fingerprints.option_set_fingerprint").alias("set_fp"), "archived_at")
     kept = lambda x: F.when(~F.substring(x, 1, 1).isin("0", "1", "2", "3"), F.col(x)).alias(x)
-    new = c.where("archived_at IS NULL").select(F.concat(F.lit("n-"), "candidate_id").alias("new_id"), "source_id", "locator", kept("rev"), kept("stem_fp"), "set_fp")
-    return I.match_rescan(c, new, [["rev"], ["stem_fp", "set_fp"], ["source_id", "locator"]], "candidate_id", "new_id")
+    return c, c.where("archived_at IS NULL").select(F.concat(F.lit("n-"), "candidate_id").alias("new_id"), "source_id", "locator", kept("rev"), kept("stem_fp"), "set_fp")
+
+
+@query(f"WITH {_RESCAN} SELECT old_id, new_id, 1 AS pass FROM m1 UNION ALL SELECT old_id, new_id, 2 FROM m2 UNION ALL SELECT old_id, new_id, 3 FROM m3")
+def rescan_matches(spark, sf):
+    return I.match_rescan(*_rescan(spark, sf), [["rev"], ["stem_fp", "set_fp"], ["source_id", "locator"]], "candidate_id", "new_id")
+
+
+_PLACED = """SELECT id, lag_mate AS b, lead_mate AS a, n - lag_n AS place, lead_n - lag_n - 1 AS size FROM (SELECT *, last_value(CASE WHEN mate IS NOT NULL THEN n END IGNORE NULLS) OVER p AS lag_n, last_value(mate IGNORE NULLS) OVER p AS lag_mate, first_value(CASE WHEN mate IS NOT NULL THEN n END IGNORE NULLS) OVER f AS lead_n, first_value(mate IGNORE NULLS) OVER f AS lead_mate
+FROM (SELECT *, row_number() OVER (ORDER BY s NULLS FIRST, e, o NULLS FIRST, id NULLS FIRST) AS n FROM {rows}) WINDOW p AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE mate IS NULL"""
+
+
+@query(f"""WITH {_RESCAN}, mm AS (SELECT old_id, new_id FROM m1 WHERE old_id[-1] <> '0' UNION ALL SELECT old_id, new_id FROM m2 WHERE old_id[-1] <> '0'),
+xo AS (SELECT coalesce(source_id, '') AS s, 1 AS e, locator AS o, candidate_id AS id, new_id AS mate FROM c LEFT JOIN mm ON old_id = candidate_id UNION ALL SELECT DISTINCT coalesce(source_id, ''), e, NULL, NULL, concat_ws(chr(31), 'end', source_id, e) FROM c, (VALUES (0), (2)) v(e)),
+xn AS (SELECT coalesce(source_id, '') AS s, 1 AS e, locator AS o, w.new_id AS id, mm.new_id AS mate FROM w LEFT JOIN mm ON mm.new_id = w.new_id UNION ALL SELECT DISTINCT coalesce(source_id, ''), e, NULL, NULL, concat_ws(chr(31), 'end', source_id, e) FROM w, (VALUES (0), (2)) v(e)),
+po AS ({_PLACED.format(rows="xo")}), pn AS ({_PLACED.format(rows="xn")})
+SELECT po.id AS old_id, pn.id AS new_id, po.size FROM po JOIN pn ON po.b = pn.b AND po.a = pn.a AND po.place = pn.place AND po.size = pn.size""")
+def rescan_by_order(spark, sf):
+    """What equal fingerprints leave over (some matches held back by the last digit of the id), matched by place between neighbours."""
+    old, new = _rescan(spark, sf)
+    m = I.match_rescan(old, new, [["rev"], ["stem_fp", "set_fp"]], "candidate_id", "new_id").where("substring(old_id, -1, 1) <> '0'")
+    return I.match_by_order(old, new, materialize(m), "source_id", "locator", "candidate_id", "new_id")
 
 
 @query("""SELECT DISTINCT candidate_id, CAST(len(options) AS INTEGER) AS n_options FROM candidates WHERE len(list_filter(list_transform(options, lambda x, i: coalesce(x.current_position <> i OR ascii(x.source_label) <> i + 64, true)), lambda b: b)) > 0""")

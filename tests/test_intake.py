@@ -147,3 +147,29 @@ def test_bank_rules():
     assert check({**bank, "questions": [question, question]}) == {("$.questions", "unique question_id")}
     assert check({**bank, "sources": [{"source_id": u(9), "source_file": "C:\\x", "source_type": "text"}]}) == {("$.sources[0].source_file", "relative")}
     assert {r for _, r in D.schema_errors("xab", {"pattern": "ab"}, search=True)} == set()
+
+
+def test_matching_by_place(spark):
+    old = [("s", "l1", "a"), ("s", "l2", "b"), ("s", "l3", "c"), ("s", "l4", "d"), ("s", "l5", "e"), ("s", "l6", "f"), ("t", "l1", "g"), ("u", "l1", "h"), ("u", "l2", "i")]
+    new = [("s", "l1", "A"), ("s", "l2", "B"), ("s", "l3", "C"), ("s", "l4", "D"), ("s", "l5", "E"), ("s", "l7", "F"), ("t", "l1", "G"), ("t", "l2", "H"), ("u", "l1", "I"), ("u", "l3", "J")]
+    o, n = (spark.createDataFrame(r, f"s string, o string, {k} string") for r, k in ((old, "oid"), (new, "nid")))
+    m = spark.createDataFrame([("a", "A"), ("c", "C"), ("f", "F")], "old_id string, new_id string")
+    got = {tuple(r) for r in I.match_by_order(o, n, m, "s", "o", "oid", "nid").collect()}
+    # b alone between its neighbours, d and e in order; t has one more now; u has no anchor but its ends
+    assert got == {("b", "B", 1), ("d", "D", 2), ("e", "E", 2), ("h", "I", 2), ("i", "J", 2)}
+    crossed = spark.createDataFrame([("a", "C"), ("c", "A")], "old_id string, new_id string")
+    assert ("b", "B", 1) not in {tuple(r) for r in I.match_by_order(o, n, crossed, "s", "o", "oid", "nid").collect()}
+    assert I.match_by_order(o.limit(0), n.limit(0), m.limit(0), "s", "o", "oid", "nid").count() == 0
+
+
+def test_nearest_values_over_many_partitions(spark):
+    from stemloom.operators.export import nearest
+
+    rows = [(i, f"v{i}" if i in (3, 4, 150, 151, 290) else None) for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.i: (r.b, r.a) for r in nearest(spark.createDataFrame(rows, "i int, v string"), ["i"], "v", "b", "a").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    known = [i for i, v in rows if v]
+    assert got == {i: (next((f"v{k}" for k in reversed(known) if k < i), None), next((f"v{k}" for k in known if k > i), None)) for i, _ in rows}
