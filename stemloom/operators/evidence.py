@@ -66,6 +66,13 @@ def rich_answers(df: DataFrame, key: str, text: str, number: str | None = None,
     return d.select(key, "line", (F.col("e") + 1).alias("entry"), "kind", found.alias("question_number"), "raw_answer", F.when(F.col("kind") == "JUDGMENT_ANSWER", F.array().cast("array<string>")).otherwise(F.col("labels")).alias("labels"), confidence.alias("confidence"))
 
 
+def _with_number(rows: DataFrame, per_number: DataFrame) -> DataFrame:
+    """Rows with what is known of their (source_id, question_number); those without a number stay out of the join, which
+    would bring a source's all to one task, and get nulls."""
+    has = F.col("question_number").isNotNull()
+    return rows.where(has).join(per_number, ["source_id", "question_number"], "left").unionByName(rows.where(~has), allowMissingColumns=True)
+
+
 def associate(questions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conclusions, leftover) of answers for numbered questions.
 
@@ -79,7 +86,7 @@ def associate(questions: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     # numbers are counted, not windowed: a source's questions without a number are never brought together
     numbered = questions.where(F.col("question_number").isNotNull()).groupBy("source_id", "question_number").agg(F.count(F.lit(1)).alias("same"))
     per_number = numbered.join(e, ["source_id", "question_number"], "left")
-    j = questions.join(per_number, ["source_id", "question_number"], "left")
+    j = _with_number(questions, per_number)
     unknown = F.size(F.array_except("found", "labels"))
     conclusion = (
         F.when(F.col("same").isNull() | (F.col("same") > 1), "low_confidence").when(F.col("found").isNull(), "missing")
@@ -104,7 +111,7 @@ def attachability(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rich evidence (source_id, question_number, labels, locator) with its status and reason; first rule wins."""
     n = questions.where("question_number IS NOT NULL").groupBy("source_id", "question_number").agg(F.count(F.lit(1)).alias("same"), F.first("labels").alias("known"))
     tuples = evidence.where("question_number IS NOT NULL").groupBy("source_id", "question_number").agg(F.min("labels").alias("lo"), F.max("labels").alias("hi"))
-    j = evidence.join(n, ["source_id", "question_number"], "left").join(tuples, ["source_id", "question_number"], "left")
+    j = _with_number(evidence, tuples.join(n, ["source_id", "question_number"], "left"))
     reason = (
         F.when(F.col("question_number").isNull(), "ANSWER_ATTACHMENT_UNCERTAIN").when(F.col("same").isNull(), "QUESTION_NUMBER_UNRESOLVED").when(F.col("same") > 1, "DUPLICATE_QUESTION_NUMBER")
         .when(F.col("lo") != F.col("hi"), "ANSWER_CONFLICT").when(F.size("labels") == 0, "RUNTIME_ONLY_ANSWER_KIND")
