@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +29,53 @@ def _relative(root: str) -> Column:
     return F.substring(path, F.lit(len(base) + 2), F.length(path))
 
 
+def _local(path: str) -> str | None:
+    """The path of a folder on this machine's file system; None for any other."""
+    return path.removeprefix("file://") if "://" not in path or path.startswith("file://") else None
+
+
+def check_roots(source: str, workspace: str) -> None:
+    """Refuse a source root that is missing, is the workspace, or lies inside it (local folders, links resolved)."""
+    a, b = (_local(p) for p in (source, workspace))
+    if a is None or b is None:
+        if source.rstrip("/") == workspace.rstrip("/") or source.startswith(workspace.rstrip("/") + "/"):
+            raise ValueError("the source root lies in the workspace")
+        return
+    if not os.path.isdir(a):
+        raise ValueError(f"{source} is no folder")
+    a, b = os.path.realpath(a), os.path.realpath(b)
+    if a == b or a.startswith(b.rstrip(os.sep) + os.sep):
+        raise ValueError("the source root lies in the workspace")
+
+
+def links_below(root: str) -> list[str]:
+    """Relative paths of the links below a local folder, which a scan does not follow; none for other file systems.
+
+    Only the listing of folders runs on the driver, as Spark's own does.
+    """
+    top = _local(root)
+    found = []
+    for folder, folders, names in os.walk(top, followlinks=False) if top else ():
+        found += [os.path.relpath(os.path.join(folder, n), top).replace(os.sep, "/") for n in (*folders, *names) if os.path.islink(os.path.join(folder, n))]
+    return sorted(found, key=lambda p: (p.casefold(), p))
+
+
+def skipped(spark: SparkSession, root: str) -> DataFrame:
+    """(relative_path, reason) of what a scan leaves out because it is a link."""
+    return spark.createDataFrame([(p, "reparse_point") for p in links_below(root)], "relative_path string, reason string")
+
+
 def discover(spark: SparkSession, root: str, workspace: str | None = None) -> DataFrame:
     """relative_path, size_bytes, content_hash, support_status of all files below a folder.
 
     Suffixes .txt and .md (any case) are 'builtin_text', others 'unsupported'.  The hash is that of the bytes; a file is
     read by one task, so its size is bounded by the task's memory.  Files below `workspace`, a folder relative to the
-    root, are left out.
+    root, are left out, as are links and what lies behind them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = _relative(root)
-    if workspace:
-        files = files.where(~is_within(rel, workspace))
+    for folder in (*([workspace] if workspace else []), *links_below(root)):
+        files = files.where(~is_within(rel, folder))
     return files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), F.when(F.lower(rel).rlike(TEXT_SUFFIXES), "builtin_text").otherwise("unsupported").alias("support_status"))
 
 

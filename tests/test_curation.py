@@ -146,6 +146,16 @@ def test_files(spark, tmp_path):
     assert {(r.source_id, r.reason) for r in files.registered_texts(other, files.read_texts(spark, str(root)))[1].collect()} == {("s1", "encoding"), ("s2", "unsafe_path"), ("s3", "missing"), ("s5", "not_unique")}
     assert {(r.code, r.relative_path) for r in files.discovery_issues(files.discover(spark, str(root), "nested/")).collect()} == {("QB-SOURCE-UNSUPPORTED", "b.markdown"), ("QB-SOURCE-UNSUPPORTED", "c.pdf")}
     assert files.discover(spark, str(root), "nested").where("relative_path like 'nested%'").count() == 0 and files.discover(spark, str(root), "nest").count() == 4
+    (tmp_path / "else").mkdir()
+    (tmp_path / "else" / "far.txt").write_bytes(b"far")
+    (root / "linked").symlink_to(tmp_path / "else")
+    (root / "nested" / "link.md").symlink_to(root / "alpha.txt")
+    assert [tuple(r) for r in files.skipped(spark, f"file://{root}").collect()] == [("linked", "reparse_point"), ("nested/link.md", "reparse_point")]
+    assert {r.relative_path for r in files.discover(spark, str(root)).collect()} == set(d)
+    files.check_roots(str(root), str(tmp_path / "else"))
+    for source, workspace in ((root, root), (root, tmp_path), (tmp_path / "none", tmp_path / "w"), (root / "linked", tmp_path / "else")):
+        with pytest.raises(ValueError):
+            files.check_roots(str(source), str(workspace))
     (tmp_path / "batch.json").write_text(json.dumps({"questions": [{"question_type": "single_choice", "stem": "s", "options": [{"label": "A", "text": "x"}], "answer": ["A"], "source_reference": {"source_id": "s", "locator": "page:1"}}, {"stem": "t", "answer": None}]}))
     rows = files.read_extracted(spark, str(tmp_path / "batch.json")).orderBy("position").collect()
     assert [(r.position, r.stem, r.answer) for r in rows] == [(1, "s", '["A"]'), (2, "t", None)]
