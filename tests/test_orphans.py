@@ -41,3 +41,13 @@ def test_cycle_reaches_the_fixpoint(spark):
     t = {"node": spark.createDataFrame([(i, p, DAY[1]) for i, p in rows], "id string, up string, at timestamp")}
     got = orphan_cascade(t, [ForeignKey("node", "id", "up", "at", "node", "id", "at")]).collect()
     assert sorted((r.child_key, r.origin) for r in got) == [("a", "direct"), ("b", "inherited"), ("c", "inherited"), ("d", "inherited")]
+
+
+def test_p4_found_is_part_of_the_cascade(spark, monkeypatch):
+    from stemloom.plans import quality
+
+    folder = "/root/testdata/sf0.001"
+    assert quality.p4_found(spark, folder).count() > 0
+    real = quality.orphan_cascade
+    monkeypatch.setattr(quality, "orphan_cascade", lambda *a: real(*a).where("child_table = 'candidates'"))
+    assert {r.child_table for r in quality.p4_found(spark, folder).collect()} <= {"candidates"}
