@@ -81,3 +81,12 @@ def test_canonical_text(spark):
     df = spark.createDataFrame([(1, "B a-1", [("A", "二"), ("B", "一")])], "k long, stem string, options array<struct<label string, text string>>")
     r = canonical_rows(df, "k", "stem", "options").collect()[0]
     assert r.canonical.split("\U0010ffff") == ["ba1", "一", "二", ""]
+
+
+def test_the_filters_give_the_copies(spark, monkeypatch):
+    """What the filters call single is never grouped."""
+    df = spark.read.parquet("/root/testdata/sf0.001/extracted_questions.parquet")
+    assert hidden_copies(df)[0].count() > 0
+    monkeypatch.setattr(canonical, "bloom_filter", lambda hashes, bits: np.zeros(-(-bits // 8), np.uint8))
+    copies, singles = hidden_copies(df)
+    assert copies.count() == 0 and singles.count() == df.count()

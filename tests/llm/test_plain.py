@@ -89,3 +89,12 @@ def test_members_and_hot_rows(spark):
         assert {tuple(sorted((a.extract_no, b.extract_no))) for g in by.values() for a, b in combinations(g, 2) if a.spelling_first != b.spelling_first} == want
         assert all(r.n_rows == len(g) and r.first == min(x.extract_no for x in g) and r.n_spellings == len({x.spelling_first for x in g}) for g in by.values() for r in g)
     assert lookalike_members(df.limit(0)).count() == 0
+
+
+def test_the_plain_form_gives_the_pairs(spark, monkeypatch):
+    from stemloom.llm import plain
+
+    df = spark.read.parquet("/root/testdata/sf0.001/extracted_questions.parquet")
+    assert lookalike_pairs(df).count() > 0
+    monkeypatch.setattr(plain, "plain_points", lambda points, offsets: (points, offsets))
+    assert lookalike_pairs(df).count() == 0

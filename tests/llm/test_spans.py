@@ -141,3 +141,12 @@ def test_ranks():
     ranks = node_ranks(points, starts, 5)
     keys = [text[i : i + 5] for i in starts]
     assert [sorted(set(keys)).index(k) for k in keys] == ranks.tolist()
+
+
+def test_the_trees_give_the_spans(spark, monkeypatch):
+    """Without the level of the suffix trees there is no span."""
+    rows = made(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, length=40, gram=12)
+    monkeypatch.setattr(spans, "shared_runs", lambda points, starts, owner, depth: np.zeros(len(starts), dtype=bool))
+    assert result(df, length=40, gram=12) == set()
