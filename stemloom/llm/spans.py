@@ -224,8 +224,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     """
     docs = df.where(F.length(text) >= length).select(F.col(key).alias("k"), F.col(text).alias("t"))
     found = materialize(stretches(docs, "k", "t", length, gram))
-    often = found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n")
-    some = materialize(found.join(often, "h"))
+    often = materialize(found.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"))
+    some = materialize(join_groups(found, often, ["h"], "n", found.count()))
     hot = F.col("n") > HOT
     wanted = some.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h", hot.alias("hot"))).alias("x"))
     kind = docs.schema["k"].dataType.simpleString()
