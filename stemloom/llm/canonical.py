@@ -13,6 +13,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +112,8 @@ def bloom_filter(hashes: DataFrame, bits: int, segment_bits: int = SEGMENT_BITS)
     return out
 
 
-def _in_filter(hash_: Column, rows: DataFrame, bits: int) -> Column:
-    """Whether a hash is among the repeated ones of `rows`, as far as their filter can tell."""
+def _in_filter(hash_: Column, rows: DataFrame, bits: int) -> tuple[Column, Broadcast]:
+    """Whether a hash is among the repeated ones of `rows`, as far as their filter can tell; and the filter's broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(bloom_filter(rows, bits).tobytes())
 
     @F.pandas_udf("boolean")
@@ -123,7 +124,7 @@ def _in_filter(hash_: Column, rows: DataFrame, bits: int) -> Column:
         pos = _bits(h.to_numpy(), bits)
         return pd.Series(((f[pos >> np.uint64(3)] >> (np.uint64(7) - (pos & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1))
 
-    return again(hash_)
+    return again(hash_), shared
 
 
 def possible_repeats(rows: DataFrame, n: int, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -138,12 +139,15 @@ def possible_repeats(rows: DataFrame, n: int, range_rows: int = RANGE_ROWS) -> D
     shard = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(ranges)).cast("int")
     if ranges == 1:
         held = materialize(rows)
-        return held.withColumn("again", _in_filter(F.col("hash"), held, bits))
+        return held.withColumn("again", _in_filter(F.col("hash"), held, bits)[0])
     held = materialize(rows.withColumn("shard", shard), by="shard")
 
     def one(i: int) -> DataFrame:
         part = held.where(F.col("shard") == i)
-        return materialize(part.withColumn("again", _in_filter(F.col("hash"), part, bits)).drop("shard"))
+        again, shared = _in_filter(F.col("hash"), part, bits)
+        out = materialize(part.withColumn("again", again).drop("shard"))
+        shared.destroy()  # its rows are written
+        return out
 
     with ThreadPool(min(8, ranges)) as pool:
         done = pool.map(one, range(ranges))
